@@ -105,11 +105,11 @@ select distinct least(k, n) as chunk_id_a, greatest(k, n) as chunk_id_b from ran
 """,
     "p3_found": """
 with records as (
-  select distinct entry_id, entry_key, fetched_at::timestamptz as at from entries
+  select distinct entry_id, entry_key, fetched_at::timestamptz as instant from entries
   where entry_key is not null and trim(entry_key) <> ''
 ),
 placed as (
-  select *, row_number() over (partition by entry_key order by at, entry_id) as r from records
+  select *, row_number() over (partition by entry_key order by instant, entry_id) as r from records
 )
 select entry_id from placed
 where r > 1 or entry_key in (select entry_key from warm_keys where entry_key is not null)
@@ -123,11 +123,11 @@ where length(text) > 4 * chunk_size
 """,
     "p3_error_rate": """
 with records as (
-  select distinct entry_id, entry_key, fetched_at::timestamptz as at from entries
+  select distinct entry_id, entry_key, fetched_at::timestamptz as instant from entries
 ),
 usable as (select * from records where entry_key is not null and trim(entry_key) <> ''),
 placed as (
-  select *, row_number() over (partition by entry_key order by at, entry_id) as r from usable
+  select *, row_number() over (partition by entry_key order by instant, entry_id) as r from usable
 ),
 hits as (
   select entry_id from placed
