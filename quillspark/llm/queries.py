@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import leakage, neighbours, seen, splitter
+from quillspark.llm import boilerplate, leakage, mixing, neighbours, seen, splitter, subjects
 from quillspark.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +73,68 @@ def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("coverage", F.round("coverage", 6)).distinct()
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "bloom_entries").where("kind = 'content'")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages that are not the page's own article."""
+    return boilerplate.boilerplate_lines(_pages(spark, sf_dir)).distinct()
+
+
+def p5_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of each page."""
+    return boilerplate.main_content(_pages(spark, sf_dir))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per scenario the documents of the mixture and how often each is taken."""
+    plan = mixing.plan(
+        mixing.sized(load(spark, sf_dir, "documents")), load(spark, sf_dir, "mix_targets")
+    )
+    return plan.selection()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares per scenario and source."""
+    plan = mixing.plan(
+        mixing.sized(load(spark, sf_dir, "documents")), load(spark, sf_dir, "mix_targets")
+    )
+    return plan.report()
+
+
+def p7_fixed_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares at a budget of all tokens, the exponent bisected to the repetition limits."""
+    plan = mixing.plan(
+        mixing.sized(load(spark, sf_dir, "documents")), load(spark, sf_dir, "mix_targets"), budget="corpus"
+    )
+    return plan.report()
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(
+        load(spark, sf_dir, "documents"),
+        load(spark, sf_dir, "subject_labels"),
+        load(spark, sf_dir, "subjects"),
+    )
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that at least a fifth of a document's sentences speak of."""
+    return subjects.two_at_most(_subjects(spark, sf_dir))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus counted by subject."""
+    return subjects.composition(_subjects(spark, sf_dir), load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (p1_found, p1_neighbours, p3_found, p3_error_rate, p4_found, p4_pieces, p6_found, p6_coverage)
+    for q in (
+        p1_found, p1_neighbours, p3_found, p3_error_rate, p4_found, p4_pieces, p5_found, p5_content,
+        p6_found, p6_coverage, p7_mix, p7_shares, p7_fixed_budget, p8_found, p8_composition,
+    )
 }
 
 _CURRENT = """
