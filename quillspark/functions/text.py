@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-STATUSES = ["Todo", "In Progress", "In Review", "Blocked", "Done"]
-PRIORITIES = ["P0", "P1", "P2", "P3"]
+STATUSES = ["Todo", "In Progress", "In Review", "Done", "Won't do"]
+PRIORITIES = ["P0", "P1", "P2", "Stretch"]
 WAVES = ["Wave 0", "Wave 1", "Wave 2", "Future"]
 EFFORTS = ["XS", "S", "M", "L", "XL"]
 
