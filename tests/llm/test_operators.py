@@ -1,0 +1,365 @@
+"""Training-data operators against brute force, with hostile rows."""
+
+import datetime
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillspark.llm import boilerplate, leakage, mixing, neighbours, seen, splitter, subjects
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# --- 1. Similar vectors
+
+VEC = "chunk_id string, embedding array<float>, indexed_at int, key string, rank int"
+
+
+def vectors(n=240, width=64, seed=3):
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n // 4, width))
+    out = []
+    for i in range(n):
+        v = base[i % len(base)] + rng.standard_normal(width) * rng.choice([0.1, 0.3, 0.5])
+        out.append((f"c{i:04d}", [float(x) for x in v], 1, "x", 0))
+    return out
+
+
+def brute_lists(data, k=5, floor=0.9, width=64):
+    last = {}
+    for key, v, at, *_ in data:
+        if key is not None and (key not in last or (at or 0) > last[key][0]):
+            last[key] = (at or 0, v)
+    good = {
+        key: np.array(v, np.float64) for key, (_, v) in last.items()
+        if v is not None and len(v) == width and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    }
+    keys = sorted(good)
+    x = np.stack([good[key] / np.linalg.norm(good[key]) for key in keys])
+    s = x @ x.T
+    out = set()
+    for i, key in enumerate(keys):
+        order = sorted((j for j in range(len(keys)) if j != i and s[i, j] >= floor), key=lambda j: (-round(s[i, j], 9), keys[j]))
+        out |= {(key, keys[j], r) for r, j in enumerate(order[:k], 1)}
+    return out
+
+
+def test_neighbours_recall_and_hostile_rows(spark):
+    data = vectors()
+    data += [("c0000", [9.0] * 64, 0, "", 0), ("c0001", data[1][1], 1, "", 0)]  # an older version, an exact repeat
+    data += [("bad1", None, 1, "", 0), ("bad2", [0.0] * 64, 1, "", 0), ("bad3", [float("nan")] + [1.0] * 63, 1, "", 0),
+             ("bad4", [1.0] * 63, 1, "", 0), (None, data[0][1], 1, "", 0), ("c0003", [1.0] * 3, 2, "", 0),
+             ("bad5", [None] + [1.0] * 63, 1, "", 0), ("bad6", [], 1, "", 0)]
+    found = neighbours.most_similar(spark.createDataFrame(data, VEC))
+    mine, truth = {(r["key"], r["neighbour"]) for r in found.collect()}, {(a, b) for a, b, _ in brute_lists(data)}
+    assert len(mine & truth) >= 0.97 * len(truth) and not mine - truth
+
+
+def test_copies_are_not_expanded(spark):
+    v = [1.0] + [0.5] * 63
+    data = [(f"k{i:03d}", v, 1, "", 0) for i in range(120)] + [("z", [1.1] + [0.5] * 63, 1, "", 0), ("far", [-1.0] * 64, 1, "", 0)]
+    found = neighbours.most_similar(spark.createDataFrame(data, VEC))
+    assert {(r["key"], r["neighbour"], r["rank"]) for r in found.collect()} == brute_lists(data)
+
+
+def test_hot_buckets_are_exact(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(64)
+    data = [(f"k{i:03d}", [float(x) for x in base + 0.02 * rng.standard_normal(64)], 1, "", 0) for i in range(90)]
+    found = neighbours.most_similar(spark.createDataFrame(data, VEC), bucket_limit=16)
+    assert {(r["key"], r["neighbour"]) for r in found.collect()} == {(a, b) for a, b, _ in brute_lists(data)}
+
+
+def test_probing_widens_the_radius(spark):
+    data = vectors(120)
+    plain = neighbours.most_similar(spark.createDataFrame(data, VEC), flips=1, recall=0.97)
+    truth = {(a, b) for a, b, _ in brute_lists(data)}
+    assert len({(r["key"], r["neighbour"]) for r in plain.collect()} & truth) >= 0.9 * len(truth)
+
+
+def test_neighbours_of_nothing(spark):
+    assert neighbours.most_similar(spark.createDataFrame([], VEC)).count() == 0
+    assert neighbours.most_similar(spark.createDataFrame(vectors(4)[:1], VEC)).count() == 0
+
+
+def test_expected_recall_is_what_the_layout_promises():
+    bits, tables = 14, neighbours.tables_for(0.9, 14, 0, 0.99)
+    assert neighbours.expected_recall(0.9, bits, tables) >= 0.99
+    assert neighbours.expected_recall(0.95, bits, tables) > 0.999
+
+
+# --- 3. Seen keys
+
+ENTRY = "entry_id bigint, entry_key string, fetched_at string, kind string, id int, key string"
+
+
+def brute_seen(data, warm):
+    entries = sorted({(datetime.datetime.fromisoformat(t), i, k) for i, k, t, *_ in data if k is not None and k.strip()})
+    known, out = {k for k in warm if k}, set()
+    for _, i, k in entries:
+        if k in known:
+            out.add(i)
+        known.add(k)
+    return out
+
+
+def entries(rng, n, keys):
+    zones = ["+00:00", "+05:30", "-08:00"]
+    out = []
+    for i in range(n):
+        t = datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=rng.randrange(40))
+        out.append((i, rng.choice(keys), t.isoformat() + rng.choice(zones), "page", 0, "z"))
+    return out + out[: n // 20]
+
+
+def test_seen_against_brute_force(spark):
+    rng = random.Random(4)
+    data = entries(rng, 300, ["hot"] * 30 + [f"k{i}" for i in range(120)] + [None, "", "  ", " ", "K1", "k1 "])
+    warm = ["k3", "k4", None, " "]
+    df = spark.createDataFrame(data, ENTRY)
+    warm_df = spark.createDataFrame([(k, "2025-01-01T00:00:00Z") for k in warm], "entry_key string, fetched_at string")
+    found = seen.seen_entries(df, warm_df, buckets=4)
+    assert {r["entry_id"] for r in found.collect()} == brute_seen(data, warm) and found.count() == len(brute_seen(data, warm))
+    rate = seen.error_rate(
+        seen.as_records(df), found.withColumnRenamed("entry_id", "id"), lambda r: seen.seen_by_sort(r, seen.history(warm_df))
+    ).first()
+    assert rate["wrong"] == 0 and rate["wrong_rate"] == 0.0 and rate["records"] == 300
+    assert seen.error_rate(seen.as_records(df), found.limit(5).withColumnRenamed("entry_id", "id"), lambda r: seen.seen_by_sort(r, seen.history(warm_df))).first()["wrong"] > 0
+
+
+def test_ledger_over_batches_in_order(spark):
+    rng = random.Random(5)
+    data = sorted(entries(rng, 120, [f"k{i}" for i in range(40)]), key=lambda e: (datetime.datetime.fromisoformat(e[2]), e[0]))
+    ledger = seen.KeyLedger(spark, 4)
+    found = set()
+    for part in (data[:50], data[50:90], data[90:]):
+        found |= {r["id"] for r in ledger.process(seen.as_records(spark.createDataFrame(part, ENTRY))).collect()}
+    assert found == brute_seen(data, [])
+    assert ledger.table().count() == len({e[1] for e in data})
+    ledger.close()
+
+
+def test_seen_of_nothing(spark):
+    empty, warm = spark.createDataFrame([], ENTRY), spark.createDataFrame([], "entry_key string, fetched_at string")
+    assert seen.seen_entries(empty, warm, 2).count() == 0
+    none = seen.as_records(empty)
+    assert seen.error_rate(none, none.select("id"), lambda r: r.select("id")).first()["wrong_rate"] == 0.0
+
+
+# --- 4. Splitting
+
+
+@given(
+    st.lists(st.sampled_from(["word ", "Longerword", ". ", "! ", "\n", "\n\n", "\n# Head\n", "é\U0001f600 ", "x" * 30, "  "]), max_size=120).map("".join),
+    st.integers(8, 60), st.integers(0, 7),
+)
+@settings(max_examples=150, deadline=None)
+def test_split_round_trip(text, size, overlap):
+    pieces = splitter.split(text, size, overlap)
+    assert all(e - s <= size for s, _, e, _ in pieces)
+    assert "".join(text[n:e] for _, n, e, _ in pieces) == text
+    for before, after in zip(pieces, pieces[1:]):
+        assert after[1] == before[2] and after[1] - after[0] == min(overlap, after[1])
+        assert after[2] > after[1]
+    if len(text) > size:
+        assert len(pieces) > 1
+
+
+def test_split_prefers_natural_boundaries():
+    text = "# A\n" + "a " * 20 + "\n# B\n" + "b b b. " * 10
+    kinds = [b for *_, b in splitter.split(text, 50, 0)]
+    assert kinds[0] == "section" and kinds[-1] == "end" and "sentence" in kinds and "character" not in kinds
+    assert [b for *_, b in splitter.split("x" * 100, 40, 10)] == ["character", "character", "end"]
+    with pytest.raises(ValueError):
+        splitter.split("x", 5, 5)
+
+
+def test_split_items(spark):
+    docs = spark.createDataFrame(
+        [("a", "x" * 50, None, 1), ("b", "y y\n" * 20, "s", 1), ("c", None, "s", 1), ("d", "", "s", 1), ("e", "z" * 40, "s", 1),
+         ("f", "w" * 41, "unknown", 1), ("g", "v" * 41, "s", 1), ("g", "v" * 41, "s", 1)],
+        "chunk_id string, text string, option_set string, size int")
+    options = spark.createDataFrame([("default", 10, 1), ("s", 10, 9)], "option_set string, chunk_size int, overlap int")
+    pieces = splitter.split_items(splitter.with_limits(docs, options), "chunk_id", "text")
+    assert rows(splitter.oversized(pieces, "chunk_id")) == [("a", "hard"), ("b", "soft"), ("f", "hard"), ("g", "hard")]
+    assert all(len(r["text"]) <= 40 and r["text"] for r in pieces.collect())
+    assert splitter.split_items(splitter.with_limits(docs.limit(0), options), "chunk_id", "text").count() == 0
+
+
+# --- 5. Boilerplate
+
+
+def page(i, body, host="docs.acme.example"):
+    chrome = ["[![Acme](/img/logo-%d.svg)](/)" % i, "Home", "Pricing", f"Home > Pricing > Title {i}"]
+    tail = ["**Related articles**", f"- [Other {i}](/p/{i})", f"* Another {i} →", "We use cookies on this site.", f"Last deployed: build {i}"]
+    return (i, f"https://{host}/p/{i}", "\n".join([*chrome, f"# Title {i}", "", *body, *tail]), "extra", i)
+
+
+PAGE = "page_id bigint, entry_key string, markdown string, host string, salt int"
+
+
+def test_boilerplate_lines(spark):
+    bodies = [[f"Sentence number {i} speaks of {w} and of nothing else.", "## Notes", f"- [See {w}](./{w}) It tells more about {w}."] for i, w in enumerate(a + b for a in ("ash", "elm", "fir", "oak", "yew", "bay") for b in ("wood", "tree", "leaf"))]
+    pages = [page(i, b) for i, b in enumerate(bodies)]
+    pages += [(100, None, "no key here", "", 0), (101, "https://docs.acme.example/x", None, "", 0), (102, "https://docs.acme.example/x", "", "", 0), pages[0]]
+    found = boilerplate.boilerplate_lines(spark.createDataFrame(pages, PAGE)).distinct()
+    expected = set()
+    for i, *_ in pages[:18]:
+        expected |= {(i, n) for n in (1, 2, 3, 4, 10, 11, 12, 13, 14)}
+    assert {tuple(r) for r in found.collect()} == expected
+    kept = {r["page_id"]: r["content"] for r in boilerplate.main_content(spark.createDataFrame(pages, PAGE)).collect()}
+    assert kept[0] == "\n".join(["# Title 0", "", *bodies[0]]) and kept[100] == "no key here"
+    assert boilerplate.boilerplate_lines(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_simple_tree_matching_keeps_order():
+    node = boilerplate.Node
+    a = node(0, 0, [node(1), node(2, 0, [node(5), node(6)]), node(3)])
+    b = node(0, 0, [node(3), node(2, 0, [node(6), node(5)]), node(1), node(3)])
+    assert [x.label for x, _ in boilerplate.simple_tree_matching(a, b)].count(3) == 1
+    assert len(boilerplate.simple_tree_matching(a, b)) == 4
+    assert boilerplate.simple_tree_matching(node(1), node(2)) == []
+
+
+# --- 6. Leakage
+
+
+def brute_runs(passage, text, least):
+    p, t = leakage.words(passage or ""), leakage.words(text or "")
+    grams = {tuple(p[i : i + least]) for i in range(len(p) - least + 1)}
+    return any(tuple(t[i : i + least]) in grams for i in range(len(t) - least + 1))
+
+
+def test_words():
+    assert leakage.words("A­B ﬁne_Straße, x²!") == ["ab", "fine", "strasse", "x2"]
+    assert leakage.words("don't 3.5") == ["don", "t", "3", "5"]
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(25)]
+    passages = [(i, " ".join(rng.choice(vocabulary) for _ in range(20))) for i in range(6)] + [(6, None), (7, "w1 w2"), (8, "")]
+    texts = []
+    for d in range(120):
+        i = rng.randrange(6)
+        words = passages[i][1].split()
+        start, n = rng.randrange(12), rng.choice([3, 4, 5, 9])
+        text = " ".join([*(rng.choice(vocabulary) for _ in range(5)), *words[start : start + n], "zzz", *(rng.choice(vocabulary) for _ in range(9))])
+        texts.append((d, text.upper() if d % 3 else text.replace(" ", ", "), i))
+    texts += [(200, None, 0), (201, "", 0), (202, "x " * 20_000 + passages[0][1] + " y" * 20_000, 0), (202, "again", 0)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, item_id int")
+    items = spark.createDataFrame([(i, p, "q") for i, p in passages], "item_id bigint, passage string, text string")
+    expected = {(d, i) for d, t, _ in texts for i, p in passages if brute_runs(p, t, 4)}
+    for limit in (leakage.MAX_SEED_WORDS, 30):
+        found = leakage.leaks(docs, items, min_match=4, max_seed_words=limit)
+        assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == expected
+    assert leakage.leaks(docs.limit(0), items, 4).count() == 0 and leakage.leaks(docs, items.limit(0), 4).count() == 0
+
+
+def test_tiling_covers_reordered_passages():
+    ids = np.arange(1, 31)
+    text = np.concatenate([[0], ids[15:], [0, 0], ids[:15], [0]])
+    assert sorted(leakage.tile(ids, text, 5)) == [(0, 18, 15), (15, 1, 15)]
+    assert leakage.tile(ids, text[:0], 5) == []
+    assert leakage.tile(np.array([1, 1, 1, 1]), np.array([1, 1, 1, 1, 1]), 2) == [(0, 0, 4)]
+
+
+# --- 7. Mixing
+
+
+def test_weights():
+    sizes = {"a": 1000, "b": 100, "c": 10}
+    exponent, total, tokens = mixing.weights_for(sizes, {"a": 1, "b": 1, "c": 2, "none": 1}, {"a": None, "b": 2.0, "c": 3.0})
+    assert exponent == 1.0 and tokens["c"] == pytest.approx(30) and total == pytest.approx(60)
+    assert mixing.weights_for(sizes, {"none": 1}, {}) == (1.0, 0.0, {})
+    exponent, total, tokens = mixing.weights_for(sizes, {"a": 1, "b": 1, "c": 2}, {"a": 1.0, "b": 2.0, "c": 3.0}, "corpus")
+    assert 0 < exponent < 1 and total == pytest.approx(1110) and tokens == pytest.approx({"a": 880, "b": 200, "c": 30})
+    exponent, shares = mixing.temperature(sizes, max_repeats=2.0)
+    assert max(shares[s] * 1110 / sizes[s] for s in sizes) == pytest.approx(2.0, rel=1e-6)
+    exponent, shares = mixing.temperature(sizes, target_entropy=0.8)
+    assert mixing.entropy(shares) == pytest.approx(0.8, abs=1e-6)
+
+
+def test_mixture_meets_its_budgets(spark):
+    rng = random.Random(7)
+    docs = [(i, rng.choice(["a"] * 8 + ["b"]), rng.randrange(1, 200)) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame(
+        [("s", "A ", 0.5, 2.0), ("s", "b", 0.5, 1.5), ("t", "a", 1.0, None), ("t", "no", 1.0, 1.0), ("u", "no", 1.0, 1.0), ("s", None, 1.0, 1.0), ("s", "a", None, None)],
+        "scenario string, source string, target_share double, max_repeats double")
+    plan = mixing.plan(df, targets)
+    report = {(r["scenario"], r["source"]): r for r in plan.report().collect()}
+    assert abs(report["s", "a"]["actual_share"] - 0.5) < 0.01 and report["s", "b"]["repeats"] == pytest.approx(1.5, abs=0.01)
+    assert report["t", "a"]["actual_share"] == 1.0 and report["t", "a"]["repeats"] == 1.0
+    assert report["t", "no"]["tokens"] == 0 and report["u", "no"]["actual_share"] == 0.0
+    chosen = plan.selection()
+    assert chosen.groupBy("scenario", "doc_id").count().where("count > 1").count() == 0
+    assert chosen.where("scenario = 's' and source = 'b'").agg({"copies": "max"}).first()[0] == 2
+    assert rows(chosen) == rows(mixing.plan(df.repartition(7), targets).selection())
+    assert mixing.plan(df.limit(0), targets).selection().count() == 0
+    assert mixing.plan(df, targets.limit(0)).report().count() == 0
+
+
+def test_sizes_in_tokens(spark):
+    docs = spark.createDataFrame([(1, "hello hello world", " Docs-Site "), (2, None, "a"), (3, "", "a"), (4, "x", None), (5, "<|endoftext|>", "a")], "doc_id bigint, text string, source string")
+    found = {r["doc_id"]: (r["source"], r["tokens"]) for r in mixing.sized(docs).collect()}
+    assert found[1] == ("docs_site", 3) and set(found) == {1, 5} and found[5][1] > 1
+
+
+# --- 8. Subjects
+
+
+WORDS = {"law": "court statute plaintiff appeal verdict", "sport": "goal referee league striker penalty", "food": "oven recipe flour butter simmer"}
+
+
+def texts_about(rng, subject, n, other=None, m=0):
+    def one(s):
+        a, b = rng.sample(WORDS[s].split(), 2)
+        return rng.choice([f"The {a} was compared with the {b} again.", f"Someone keeps the {a} next to a {b}.", f"What happens to the {a} of the {b}?"])
+
+    filler = ["This page was last seen in the spring.", "Comments are welcome in the usual place."]
+    lines = [one(subject) for _ in range(n)] + [one(other) for _ in range(m)] + filler
+    rng.shuffle(lines)
+    return " ".join(lines)
+
+
+def test_subjects(spark):
+    rng = random.Random(8)
+    truth, docs = {}, []
+    for i in range(300):
+        a, b = rng.sample(sorted(WORDS), 2)
+        m = rng.choice([0, 0, 1, 5])
+        docs.append((i, texts_about(rng, a, 8, b, m), rng.choice(["en", "EN", None]), "x"))
+        truth[i] = {a, b} if m == 5 else {a}
+    docs += [(900, None, "en", ""), (901, "", "en", ""), (902, "no sentence", "en", ""), docs[0]]
+    labels = [(i, rng.choice([s, s.upper(), f" {s}"]), "r") for i in range(0, 300, 4) for s in truth[i]]
+    labels += [(4, "food", "r"), (5, None, "r"), (6, "unheard of", "r"), (None, "law", "r"), (900, "law", "r")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, subject string")
+    lab = spark.createDataFrame(labels, "doc_id bigint, subject string, rater string")
+    names = spark.createDataFrame([(s, "") for s in WORDS], "subject string, description string")
+    options = subjects.Options(dimensions=20, max_share=0.6, telling=0.1)
+    found = subjects.two_at_most(subjects.subjects_of(df, lab, names, options))
+    mine = {}
+    for r in found.collect():
+        mine.setdefault(r["doc_id"], set()).add(r["subject"])
+    assert sum(mine.get(i) == s for i, s in truth.items()) >= 0.95 * len(truth)
+    assert not {900, 901, 902} & set(mine)
+    assert subjects.subjects_of(df, lab.limit(0), names, options).count() == 0
+    assert subjects.subjects_of(df.limit(0), lab, names, options).count() == 0
+    counts = subjects.composition(found, df)
+    assert counts.count() == 3
+
+
+def test_sentences():
+    text = 'Title here\n\n"Escrow balance" here means a lot. No. The camelCase word stays, v1.2 too! a line of words that goes on and on without an end\n- short item'
+    found = list(subjects.sentence_words(text))
+    assert [len(s) for s in found] == [6, 6, 13] or len(found) == 3
+    assert "camel" in found[1] and "case" in found[1]
+    assert re.match(r"\w+", found[0][0])
