@@ -71,7 +71,9 @@ def search(index: DataFrame, queries: DataFrame, n: int = TOP, digits: int | Non
             for i, (_, v) in enumerate(carried.value):
                 widths.setdefault(len(v), []).append(i)
             held: pd.DataFrame | None = None
-            for batch in batches:
+            for batch in batches if widths else ():
+                if not len(batch):
+                    continue
                 ids, vectors = batch["chunk_id"].to_numpy(), batch["embedding"].tolist()
                 found = []
                 for width, rows in widths.items():

@@ -151,7 +151,7 @@ def changelog_entries(documents: DataFrame, key: str = "doc_id", text: str = "te
         key, F.col("position").cast("bigint"),
         F.regexp_extract("part", head, 1).alias("version"),
         F.regexp_extract("part", head, 2).alias("date"),
-        F.trim(F.regexp_replace("part", r"\A[^\n]*\n?", "")).alias("body"),
+        F.regexp_replace("part", r"\A[^\n]*\n?\s*|\s+\z", "").alias("body"),
     )
 
 
