@@ -67,8 +67,8 @@ def snapshot_changes(
     pairs = numbers.join(numbers.select((F.col("__n") + 1).alias("__n")), "__n", "left_semi")
 
     cells = F.array(
-        F.struct(F.lit(PRESENT).alias("field"), F.lit("").alias("value")),
-        *[F.struct(F.lit(f).alias("field"), normalise(F.col(f)).alias("value")) for f in fields],
+        F.struct(F.lit(PRESENT).alias("__field"), F.lit("").alias("__value")),
+        *[F.struct(F.lit(f).alias("__field"), normalise(F.col(f)).alias("__value")) for f in fields],
     )
     sides = F.array(
         F.struct(F.col(snapshot).alias("n"), F.lit(1).alias("sign")),
@@ -77,13 +77,13 @@ def snapshot_changes(
     signed = (
         current.select(*keys, cells.alias("__cells"), F.explode(sides).alias("__side"))
         .select(*keys, "__side", F.explode("__cells").alias("__cell"))
-        .groupBy(F.col("__side.n").alias("__n"), *keys, "__cell.field", "__cell.value")
+        .groupBy(F.col("__side.n").alias("__n"), *keys, "__cell.__field", "__cell.__value")
         .agg(F.sum("__side.sign").alias("__sum"))
         .where("__sum <> 0")
     )
-    here = F.max(F.when(F.col("field") == PRESENT, F.col("__sum")))
+    here = F.max(F.when(F.col("__field") == PRESENT, F.col("__sum")))
     differing = F.array_sort(
-        F.collect_set(F.when(F.col("field") != PRESENT, F.col("field")))
+        F.collect_set(F.when(F.col("__field") != PRESENT, F.col("__field")))
     )
     rows = signed.groupBy("__n", *keys).agg(here.alias("__here"), differing.alias("__fields"))
     kind = (
