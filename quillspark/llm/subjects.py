@@ -38,7 +38,10 @@ from pyspark.sql import functions as F
 from quillspark import session
 
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
-_TOKEN = re.compile(r"[^\W\d_]{2,}|[.!?…]+[\"'”’»)\]]*(?=\s|$)|\n")
+_ASCII_CAMEL = re.compile(r"([a-z])([A-Z])")
+_STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*(?:\s+|\Z)")
+#: Marks among the words: the end of a sentence, and of a line without one.
+_FULL, _LINE = "\x01", "\x02"
 #: A line that ends without a full stop is a sentence from this many words on
 #: (a broken line); shorter ones are headings, labels and the like.
 _LINE_WORDS = 8
@@ -66,67 +69,93 @@ class Options:
     least_seeds: float = 1.5
 
 
-def sentence_words(text: str) -> Iterator[list[str]]:
-    """The sentences of a text as lists of lower-case words."""
-    if "&" in text:
-        text = html.unescape(text)
-    pending: list[str] = []
-    for token in _TOKEN.findall(_CAMEL.sub(" ", text).lower()):
-        if token == "\n":
-            if len(pending) >= _LINE_WORDS:
-                yield pending
-            pending = []
-        elif token[0] in ".!?…":
-            if len(pending) >= _LEAST_WORDS:
-                yield pending
-            pending = []
-        else:
-            pending.append(token)
-    if len(pending) >= _LINE_WORDS:
-        yield pending
+class Letters(dict):
+    """A translation table: letters in lower case, marks kept, all else a blank."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        known = self[point] = c.lower() if c.isalpha() or c in (_FULL, _LINE) else " "
+        return known
+
+
+class Codes(dict):
+    """Words as 32-bit codes, remembered; 0 and 1 are the marks."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+            self.update({_FULL: MARK, _LINE: MARK + 1})
+        code = xxhash.xxh32_intdigest(word) - (1 << 31)
+        known = self[word] = code if code not in (MARK, MARK + 1) else 2
+        return known
 
 
 class Coder:
-    """Words as 32-bit codes (never 0); remembers those it has met."""
+    """Texts as word codes with a 0 after each sentence, many texts at a time."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        out: list[int] = []
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for words in sentence_words(text or ""):
-            for w in words:
-                code = known.get(w)
-                if code is None:
-                    code = known[w] = (xxhash.xxh32_intdigest(w) - (1 << 31)) or 1
-                out.append(code)
-            out.append(MARK)
-        return np.array(out, np.int32)
+        self.letters = Letters()
+        self.codes = Codes({_FULL: MARK, _LINE: MARK + 1})
+
+    def words(self, text: str | None) -> list[str]:
+        """Lower-case words and marks; the last one is a mark."""
+        text = text or ""
+        if "&" in text:
+            text = html.unescape(text)
+        spread = _ASCII_CAMEL.sub(r"\1 \2", text) if text.isascii() else _CAMEL.sub(" ", text)
+        marked = _STOP.sub(f" {_FULL} ", spread).replace("\n", f" {_LINE} ")
+        return f"{marked} {_LINE}".translate(self.letters).split()
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """``(codes, lengths)``: all codes in a row, and how many each text has."""
+        words: list[str] = []
+        sizes = []
+        for text in texts:
+            mine = self.words(text)
+            sizes.append(len(mine))
+            words += mine
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        marks = (codes == MARK) | (codes == MARK + 1)
+        at = np.flatnonzero(marks)
+        length = np.diff(at, prepend=-1) - 1
+        kept = (length >= _LINE_WORDS) | ((length >= _LEAST_WORDS) & (codes[at] == MARK))
+        codes[at] = MARK
+        mask = kept[np.cumsum(marks) - marks]
+        before = np.concatenate([[0], np.cumsum(mask)])
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return codes[mask].astype(np.int32), np.diff(before[np.concatenate([[0], ends])])
+
+
+#: Characters of text that are coded at a time.
+_AT_ONCE = 8_000_000
 
 
 def encode(documents: DataFrame) -> DataFrame:
     """``doc_id, lang, codes``: every document's words, a 0 after each sentence."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for batch in batches:
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "lang": batch["lang"],
-                    "codes": [coder(t) for t in batch["text"].tolist()],
-                }
-            )
+            texts = batch.column(2).to_pylist()
+            first, held = 0, 0
+            for i, text in enumerate(texts):
+                held += len(text)
+                if held >= _AT_ONCE or i == len(texts) - 1:
+                    codes, lengths = coder(texts[first : i + 1])
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+                    part = batch.slice(first, i + 1 - first)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(codes))],
+                        ["doc_id", "lang", "codes"],
+                    )
+                    first, held = i + 1, 0
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     lang = F.substring(F.lower(F.trim(F.coalesce("lang", F.lit("")))), 1, 2)
     return (
         documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
         .select("doc_id", lang.alias("lang"), "text")
-        .mapInPandas(run, f"doc_id {kind}, lang string, codes array<int>")
+        .mapInArrow(run, f"doc_id {kind}, lang string, codes array<int>")
     )
 
 
@@ -381,7 +410,7 @@ def subjects_of(
             term, _, sentence = space.rows(batch)
             keep = matters[term]
             term, sentence = term[keep], sentence[keep]
-            speaks = np.zeros((len(lengths), len(names)))
+            hits = [np.empty(0, np.int64)]
             starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(term) else []
             for a in range(0, len(starts), 4096):
                 begin = starts[a : a + 4096]
@@ -396,8 +425,9 @@ def subjects_of(
                 top = np.sort(near, axis=1)
                 clear = (top[:, -1] >= o.min_cosine) & (top[:, -1] - top[:, -2] >= o.margin * top[:, -1])
                 good = telling & clear
-                np.add.at(speaks, (of[sentence[begin[good]]], near[good].argmax(1)), 1)
-            share = speaks / np.maximum(sentences, 1)[:, None]
+                hits.append(of[sentence[begin[good]]] * len(names) + near[good].argmax(1))
+            speaks = np.bincount(np.concatenate(hits), minlength=len(lengths) * len(names))
+            share = speaks.reshape(len(lengths), len(names)) / np.maximum(sentences, 1)[:, None]
             d, s = np.nonzero(share >= o.share)
             yield pa.RecordBatch.from_arrays(
                 [
