@@ -63,7 +63,7 @@ class Options:
     max_labels: int = 20_000
     clear: float = 0.05
     telling: float = 0.3
-    min_cosine: float = 0.2
+    min_cosine: float = 0.1
     margin: float = 0.1
     prior: float = 3.0
     least_seeds: float = 1.5
