@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark import session
 from quillspark.functions import text as T
 from quillspark.kernels import chunker
 
@@ -28,7 +29,7 @@ def chunk(
     """The chunks of every document: ``key, id, ordinal, text, token_count,
     heading_path, start, end``.
 
-    Narrow: no shuffle, one document at a time.  A null text is an empty one and
+    Narrow: one document at a time, in place.  A null text is an empty one and
     gives one empty chunk, rows with a null key are void, repeated rows repeat
     their chunks.  ``mode`` is ``clean`` or ``compat`` (see the kernel).
     """
@@ -53,9 +54,11 @@ def chunk(
                 )
 
     kind = documents.schema[key].dataType.simpleString()
+    rows = documents.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("__key"), F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))
+    )
     return (
-        documents.where(F.col(key).isNotNull())
-        .select(F.col(key).alias("__key"), F.col(key).cast("string"), F.coalesce(F.col(text), F.lit("")))
+        session.spread(rows)
         .mapInPandas(run, f"__key {kind}, {SCHEMA}")
         .withColumnRenamed("__key", key)
     )

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark import session
 from quillspark.functions import text as T
 
 K = 60
@@ -119,7 +120,8 @@ def rerank(
     ready = with_text(candidates, chunks)
     if provider is None or queries is None:
         return by_input_order(ready, n)
-    # A query's candidates are at most FUSED rows.
+    # A query's candidates are at most FUSED rows; three plans below read them.
+    ready = session.scratch(ready, "candidates")
     asked = ready.join(queries.select("query_id", "query"), "query_id")
     qkind = candidates.schema["query_id"].dataType.simpleString()
     ckind = candidates.schema["chunk_id"].dataType.simpleString()

@@ -13,12 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark import session
 from quillspark.functions import text as T
 
 K1 = 1.2
 B = 0.75
 TOP = 20
+#: Terms of all queries, repeats counted, up to which they are broadcast.
+FEW_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -104,7 +105,9 @@ def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> Da
     asked = queries.select(
         "query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term")
     )
-    hits = index.postings.join(session.broadcast_small(asked.select("term").distinct(), 200_000), "term", "left_semi")
+    few = asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    small = F.broadcast if few else (lambda df: df)
+    hits = index.postings.join(small(asked.select("term").distinct()), "term", "left_semi")
     # The rarity of a term over the whole index, for the terms asked for.
     rarity = (
         hits.groupBy("term").agg(F.count("*").alias("df"))
@@ -117,8 +120,9 @@ def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> Da
     average = F.when(F.col("avg_length") == 0, 1.0).otherwise(F.col("avg_length"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / average))
+    # Weighted terms are at most those asked for.
     return (
-        hits.join(session.broadcast_small(weighted, 200_000), "term")
+        hits.join(small(weighted), "term")
         .join(index.docs, "chunk_id")
         .groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     )

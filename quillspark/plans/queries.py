@@ -20,7 +20,7 @@ from quillspark.operators import (
     snapshot_diff,
     tracker,
 )
-from quillspark.session import load
+from quillspark.session import load, scratch
 from quillspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,7 +304,7 @@ select query_id, chunk_id, overlap::double as reranker_score, final_rank from pl
 )
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The final 20 by a provider that counts shared terms and drops the rest."""
-    candidates = fusion.with_text(_hybrid(spark, sf_dir), _chunks(spark, sf_dir))
+    candidates = scratch(fusion.with_text(_hybrid(spark, sf_dir), _chunks(spark, sf_dir)), "candidates")
     overlap = F.size(F.array_intersect(T.tokens(F.col("query")), T.tokens(F.col("text"))))
     given = (
         candidates.join(_questions(spark, sf_dir), "query_id")

@@ -81,6 +81,19 @@ def bounded_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A narrow plan over at least as many partitions as there are cores.
+
+    A few small files would leave costly per-row work to a few tasks; tables of
+    many files are left as they are, and so are plans with a shuffle of their own.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    planned = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if planned >= cores else df.repartition(cores)
+
+
 def broadcast_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows.
 
