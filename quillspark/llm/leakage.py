@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark import session
+
 MIN_MATCH = 12
 MAX_SEED_WORDS = 2_000_000
 
@@ -213,8 +215,9 @@ def leaks(
         blocks[-1].append((r["item_id"], r["passage"]))
         held += r["n"]
     kind = documents.schema["doc_id"].dataType.simpleString()
+    texts = session.spread(documents.select("doc_id", "text"))
     parts = [
-        documents.select("doc_id", "text").mapInPandas(
+        texts.mapInPandas(
             _matcher(documents, block, min_match, min_coverage), f"doc_id {kind}, {FOUND}"
         )
         for block in blocks

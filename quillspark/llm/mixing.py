@@ -71,9 +71,9 @@ def sized(
             yield batch.assign(tokens=tokens)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text")
     return (
-        documents.select("doc_id", source_name(F.col("source")).alias("source"), "text")
-        .where("doc_id is not null and source <> '' and text is not null")
+        session.spread(rows.where("doc_id is not null and source <> '' and text is not null"))
         .mapInPandas(count, f"doc_id {kind}, source string, tokens bigint")
         .where("tokens > 0")
     )

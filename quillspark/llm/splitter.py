@@ -161,7 +161,7 @@ def with_limits(documents: DataFrame, options: DataFrame) -> DataFrame:
     usual = limits.where("__set = 'default'").first()
     size, overlap = (usual["__size"], usual["__overlap"]) if usual else (None, None)
     return (
-        documents.drop("size", "overlap")
+        session.spread(documents.drop("size", "overlap"))
         .join(session.broadcast_small(limits), F.col("option_set") == F.col("__set"), "left")
         .withColumn("size", F.coalesce("__size", F.lit(size)) * CHARS_PER_TOKEN)
         .withColumn("overlap", F.coalesce("__overlap", F.lit(overlap)) * CHARS_PER_TOKEN)

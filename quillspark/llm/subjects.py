@@ -152,9 +152,9 @@ def encode(documents: DataFrame) -> DataFrame:
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     lang = F.substring(F.lower(F.trim(F.coalesce("lang", F.lit("")))), 1, 2)
+    rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     return (
-        documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", lang.alias("lang"), "text")
+        session.spread(rows.select("doc_id", lang.alias("lang"), "text"))
         .mapInArrow(run, f"doc_id {kind}, lang string, codes array<int>")
     )
 
