@@ -18,6 +18,10 @@ ranked afterwards, so copies never meet pair by pair.  A bucket with more than
 pair of blocks is a matrix product of bounded size that keeps the best ``k``
 per vector - exact for the bucket, spread over tasks, and never all pairs.
 Where hot buckets overlap so much that it is less work, their vectors form one.
+
+The index is laid out for a floor of the cosine.  Lists without a floor
+(``complete``) take from it what has ``k`` neighbours above the floor; vectors
+with fewer meet all vectors, block against block: exact, and quadratic.
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ from pyspark.sql import functions as F
 from quillspark import session
 
 WORD = 64
+#: Rows of the two sides of an exact block: vectors with a short list, and all vectors.
+SHORT_BLOCK = 16_384
+ALL_BLOCK = 32_768
 
 
 def usable_vectors(
@@ -296,6 +303,56 @@ def _hot_pairs(
     )
 
 
+def exact_lists(short: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``a, b, cosine``: for the ids of ``short`` the best ``k`` of all vectors,
+    whatever their cosine, with what ties or nearly ties in a block.
+
+    Blocks of the short side meet blocks of all vectors.  Single precision finds
+    the candidates, with a margin above its error; their cosines are the same
+    sums in the same order as elsewhere.
+    """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n = short.count()
+    left = max(1, math.ceil(n / SHORT_BLOCK), min(cores, n // 1024))
+    right = max(1, math.ceil(vectors.count() / ALL_BLOCK))
+
+    def block(count: int):
+        return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+
+    def each(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    asking = vectors.join(short, "id", "left_semi").select(
+        block(left).alias("lo"), each(right).alias("hi"), F.lit(True).alias("asks"), "id", "vec"
+    )
+    there = vectors.select(each(left).alias("lo"), block(right).alias("hi"), F.lit(False).alias("asks"), "id", "vec")
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy()
+        ids, x = pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy())
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        b = b[np.argsort(ids[b])]
+        out = [pd.DataFrame({"a": ids[:0], "b": ids[:0], "cosine": x[:0, 0]})]
+        keep = min(k, len(b))
+        single = x.astype(np.float32)
+        turned = np.ascontiguousarray(single[b].T)
+        for at in range(0, len(a) if keep else 0, 512):
+            rows = a[at : at + 512]
+            dots = single[rows] @ turned
+            itself = np.minimum(np.searchsorted(ids[b], ids[rows]), len(b) - 1)
+            same = np.flatnonzero(ids[b][itself] == ids[rows])
+            dots[same, itself[same]] = -2
+            last = np.partition(dots, len(b) - keep, axis=1)[:, len(b) - keep]
+            r, c = np.nonzero(dots >= np.maximum(last - 1e-5, -1.5)[:, None])
+            cosine = np.zeros(len(r))
+            for d in range(x.shape[1]):
+                cosine = cosine + x[rows[r], d] * x[b[c], d]
+            out.append(pd.DataFrame({"a": ids[rows[r]], "b": ids[b[c]], "cosine": cosine}))
+        return pd.concat(out)
+
+    return asking.unionByName(there).groupBy("lo", "hi").applyInPandas(best, "a bigint, b bigint, cosine double")
+
+
 def most_similar(
     records: DataFrame,
     k: int = 5,
@@ -304,6 +361,7 @@ def most_similar(
     vector: str = "embedding",
     version: str = "indexed_at",
     width: int = 64,
+    complete: bool = False,
     **options,
 ) -> DataFrame:
     """For every key its ``k`` most similar keys, in order.
@@ -312,7 +370,8 @@ def most_similar(
     the neighbour's key).  Only neighbours with ``cosine >= min_cosine`` count:
     the index is laid out for that floor, at which it finds a pair with
     probability ``recall`` (0.99 unless given; more for closer pairs).  A key
-    without such neighbours has no rows.  Latest usable vectors only, see
+    without such neighbours has no rows.  With ``complete`` there is no floor:
+    lists that the index leaves short are made whole by ``exact_lists``.  Latest usable vectors only, see
     ``usable_vectors``; an empty table gives an empty result.
     """
     spark = records.sparkSession
@@ -328,6 +387,16 @@ def most_similar(
         "vector-classes",
     )
     pairs = similar_pairs(classes.select("id", "vec"), k, min_cosine, width=width, **options)
+    if complete:
+        pairs = session.scratch(pairs, "near-pairs")
+        full = pairs.groupBy(F.col("a").alias("id")).count().where(F.col("count") >= k)
+        # More than k copies fill each other's lists.
+        short = session.scratch(
+            classes.where(F.col("members") <= k).select("id").join(full, "id", "left_anti"), "short-lists"
+        )
+        pairs = pairs.join(short.withColumnRenamed("id", "a"), "a", "left_anti").unionByName(
+            exact_lists(short, classes.select("id", "vec"), k)
+        )
     by_rank = Window.partitionBy("a").orderBy(F.desc("cosine"), "nkey")
     heads = classes.select(F.col("id").alias("b"), F.col("key").alias("nkey"))
     nearest = (

@@ -23,8 +23,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk's nearest chunks in order."""
-    lists = neighbours.most_similar(load(spark, sf_dir, "index_records"))
+    """Every chunk's five nearest chunks in order, however far they are."""
+    lists = neighbours.most_similar(load(spark, sf_dir, "index_records"), complete=True)
     return lists.select(
         F.col("key").alias("chunk_id"), "neighbour",
         F.round("cosine", 5).alias("cosine"), F.col("rank").cast("bigint").alias("rank"),

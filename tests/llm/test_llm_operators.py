@@ -83,6 +83,18 @@ def test_probing_widens_the_radius(spark):
     assert len({(r["key"], r["neighbour"]) for r in plain.collect()} & truth) >= 0.9 * len(truth)
 
 
+def test_complete_lists_have_no_floor(spark, monkeypatch):
+    data = vectors(150) + [(f"copy{i}", vectors(150)[7][1], 1, "", 0) for i in range(3)]
+    df, truth = spark.createDataFrame(data, VEC), brute_lists(data, floor=-1.0)
+    assert len(truth) == 5 * len(data)
+    assert {(r["key"], r["neighbour"], r["rank"]) for r in neighbours.most_similar(df, complete=True).collect()} == truth
+    monkeypatch.setattr(neighbours, "SHORT_BLOCK", 40)
+    monkeypatch.setattr(neighbours, "ALL_BLOCK", 60)
+    assert {(r["key"], r["neighbour"], r["rank"]) for r in neighbours.most_similar(df, complete=True).collect()} == truth
+    three = neighbours.most_similar(df.where("chunk_id < 'c0003'"), complete=True)
+    assert three.count() == 6 and neighbours.most_similar(df.limit(0), complete=True).count() == 0
+
+
 def test_neighbours_of_nothing(spark):
     assert neighbours.most_similar(spark.createDataFrame([], VEC)).count() == 0
     assert neighbours.most_similar(spark.createDataFrame(vectors(4)[:1], VEC)).count() == 0
