@@ -422,6 +422,29 @@ def frontmatter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    r"""
+with eol as (
+  select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as c from documents where text is not null
+),
+split as (
+  select doc_id, c, regexp_extract(c, '^---\n((?s:.*?))\n---\n?', 1) as front,
+    regexp_replace(c, '^---\n(?s:.*?)\n---\n?', '') as body
+  from eol
+)
+select doc_id, sha256(front) as front_sha, sha256(body) as body_sha, length(c)::bigint as kept from split
+"""
+)
+def frontmatter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with normal line ends, split at the front matter."""
+    docs = load(spark, sf_dir, "documents").where("text is not null")
+    c = readers.limited(T.normal_eol(F.col("text")), None)
+    return docs.select(
+        "doc_id", F.sha2(T.front_block(c), 256).alias("front_sha"), F.sha2(T.front_body(c), 256).alias("body_sha"),
+        F.length(c).cast("bigint").alias("kept"),
+    )
+
+
 @query(
     r"""
 with c as (select doc_id, '```md' || chr(10) || text || chr(10) || '```' || chr(10) as t from documents where text is not null)

@@ -217,6 +217,23 @@ def test_markdown_reader(spark):
     assert cut["a"] == "---\ntitle:"
 
 
+def test_front_matter_of_whole_texts(spark, tmp_path):
+    from hashlib import sha256
+
+    from quillspark.plans import queries
+
+    front, body = "title: T\n" + "note: n\n" * 300 + "end: 1", "b" * 3000 + " tail"
+    text = f"---\r\n{front}\n---\n{body}"
+    spark.createDataFrame([(1, text), (2, body), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.QUERIES["frontmatter_whole"](spark, str(tmp_path)).collect()}
+    sha = lambda t: sha256(t.encode()).hexdigest()
+    assert (found[1]["front_sha"], found[1]["body_sha"], found[1]["kept"]) == (sha(front), sha(body), len(text) - 1)
+    assert found[2]["body_sha"] == sha(body) and set(found) == {1, 2}
+    pages = spark.createDataFrame([("a", "---\nt: 1\n---\n" + body)], "url string, content string")
+    assert readers.read_markdown(pages).first()["body"] == body
+    assert readers.read_markdown(pages, limit=20).first()["body"] == body[:7]
+
+
 def test_scan_states(spark):
     pages = spark.createDataFrame([("a", "bad"), ("b", "odd"), ("c", "fine"), ("d", "fail"), ("e", "bad")], "url string, content string")
 
