@@ -230,6 +230,23 @@ def test_boilerplate_lines(spark):
     assert boilerplate.boilerplate_lines(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_pages_of_other_hosts_do_not_hide_a_template_line(spark):
+    def body(i, label):
+        word = "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+        return "\n".join([f"The report {word} was written by hand, in ink, at night.", *label, f"It ends with remark {word} and says no more than that."])
+
+    small = [(i, f"https://small.example/{i}", body(i, ["Advertising"] * (i % 12 == 0)), "", 0) for i in range(60)]
+    large = [(i, f"https://large.example/{i}", body(i, []), "", 0) for i in range(1000, 3600)]
+    for pages in (small, small + large):
+        found = boilerplate.boilerplate_lines(spark.createDataFrame(pages, PAGE)).where("page_id < 1000")
+        assert {tuple(r) for r in found.collect()} == {(i, 2) for i in range(0, 60, 12)}
+
+
+def test_repeated_rows_are_one_page(spark):
+    once = (1, "https://docs.acme.example/a", "Acme was founded in a barn.\nIt grew.", "", 0)
+    assert boilerplate.boilerplate_lines(spark.createDataFrame([once] * 5, PAGE)).count() == 0
+
+
 def test_simple_tree_matching_keeps_order():
     node = boilerplate.Node
     a = node(0, 0, [node(1), node(2, 0, [node(5), node(6)]), node(3)])
