@@ -33,14 +33,14 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries whose key was recorded before."""
-    return seen.seen_entries(load(spark, sf_dir, "entries"), load(spark, sf_dir, "warm_keys"))
+    return seen.seen_in_order(load(spark, sf_dir, "entries"), load(spark, sf_dir, "warm_keys"))
 
 
 def p3_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger's answers held against a second method over all entries."""
     entries, warm = load(spark, sf_dir, "entries"), load(spark, sf_dir, "warm_keys")
     records = seen.as_records(entries)
-    answered = seen.seen_entries(entries, warm).withColumnRenamed("entry_id", "id")
+    answered = seen.seen_in_order(entries, warm).withColumnRenamed("entry_id", "id")
     return seen.error_rate(records, answered, lambda r: seen.seen_by_sort(r, seen.history(warm)))
 
 

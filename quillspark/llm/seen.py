@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from quillspark import session
 
 BUCKETS = 64
+#: Batches of about equal size that a table of entries is fed to the ledger in.
+BATCHES = 4
 
 
 def instant(text: Column) -> Column:
@@ -140,6 +142,37 @@ def seen_entries(entries: DataFrame, warm_keys: DataFrame, buckets: int = BUCKET
     return ledger.seen(as_records(entries)).select(F.col("id").alias("entry_id"))
 
 
+def seen_in_order(
+    entries: DataFrame, warm_keys: DataFrame, batches: int = BATCHES, buckets: int = BUCKETS
+) -> DataFrame:
+    """``seen_entries``, batch after batch in order of ``fetched_at``.
+
+    Each batch is answered from the ledger and its new keys are appended before
+    the next one comes, so earlier entries are never grouped again.  Equal
+    instants share a batch; entries without a readable time are in the last.
+    Rows with the same ``entry_id`` have to be the same row.
+    """
+    ledger = KeyLedger(entries.sparkSession, buckets)
+    ledger.append(history(warm_keys))
+    records = session.scratch(as_records(entries), "seen-records")
+    at = F.unix_micros("at")
+    shares = [i / batches for i in range(1, batches)]
+    cuts = records.agg(F.percentile_approx(at, shares)).first()[0] if shares else None
+    cuts = sorted(set(cuts or []))
+    answers = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = records
+        if low is not None:
+            part = part.where(F.col("at").isNull() | (at > low))
+        if high is not None:
+            part = part.where(at <= high)
+        answer = ledger.process(part)
+        answers = answer if answers is None else answers.unionByName(answer)
+    # The answers are written; nothing reads the ledger any more.
+    ledger.close()
+    return answers.select(F.col("id").alias("entry_id"))
+
+
 def history(warm_keys: DataFrame) -> DataFrame:
     """Warm keys as ledger rows without a time: all of it precedes the batch."""
     return warm_keys.where(usable(F.col("entry_key"))).select(

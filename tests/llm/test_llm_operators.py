@@ -157,6 +157,21 @@ def test_ledger_over_batches_in_order(spark):
     ledger.close()
 
 
+def test_seen_in_order_feeds_the_ledger(spark, monkeypatch):
+    rng = random.Random(6)
+    data = entries(rng, 200, ["hot"] * 20 + [f"k{i}" for i in range(90)] + [None, " "])
+    data += [(900, "hot", "no time", "page", 0, "z"), (901, "only", None, "page", 0, "z")]
+    warm_df = spark.createDataFrame([("k3", "2025-01-01T00:00:00Z")], "entry_key string, fetched_at string")
+    appended, append = [], seen.KeyLedger.append
+    monkeypatch.setattr(seen.KeyLedger, "append", lambda self, firsts: (appended.append(firsts.count()), append(self, firsts)))
+    found = seen.seen_in_order(spark.createDataFrame(data, ENTRY), warm_df, 3, 4)
+    assert sorted(r["entry_id"] for r in found.collect()) == sorted(brute_seen(data[:-2], ["k3"]) | {900})
+    keys = {e[1] for e in data if e[1] and e[1].strip()} | {"k3"}
+    assert len(appended) == 4 and all(appended) and sum(appended) == len(keys)
+    empty = spark.createDataFrame([], ENTRY)
+    assert seen.seen_in_order(empty, warm_df, 3, 4).count() == 0
+
+
 def test_seen_of_nothing(spark):
     empty, warm = spark.createDataFrame([], ENTRY), spark.createDataFrame([], "entry_key string, fetched_at string")
     assert seen.seen_entries(empty, warm, 2).count() == 0
