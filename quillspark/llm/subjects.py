@@ -1,53 +1,53 @@
 """Subject areas of documents by latent semantic analysis.
 
 1. *Reading.*  One pass turns every text into hashed word codes with sentence
-   marks; all later passes read that compact table.
+   marks, and counts in how many documents each word stands; all later passes
+   read that compact table.
 2. *Space.*  Documents are term vectors (log frequency times inverse document
-   frequency, counted over all documents).  One pass sums their Gram matrix,
-   whose leading eigenvectors are the truncated singular value decomposition.
+   frequency, counted over all documents).  One pass sums ``X'X Omega`` for a
+   fixed random ``Omega``, from which the truncated singular value decomposition
+   follows (Nystroem); its size is linear in the vocabulary.
 3. *Centroids.*  Seeds come from labelled documents, one centroid per subject
    and language group (and one per subject).  Each round assigns all documents
    by cosine, keeps the clear ones, and renews the centroids and the term
    weights: a term counts by how unevenly it is spread over the subjects, which
    silences the phrases that all subjects share.  The space is renewed with the
-   weights (no pass: weighting only scales the Gram matrix).
+   weights (no pass: weighting scales the rows of the sketch).  Rounds end when
+   the centroids move less than ``settled``, and after ``rounds`` at most.
 4. *Assignment.*  Every sentence goes to the subject of its nearest centroid if
    it holds a telling term and the cosine is clear; a document has the subjects
    of which at least ``share`` of its sentences speak.
 
-What travels to the driver is bounded by the vocabulary (terms in at least
-``min_share`` of all documents, at most ``max_terms``) and by the labelled
-sample (``max_labels`` documents), never by the number of documents; partial
-sums meet in slices on the executors first.
+What travels to the driver is bounded by the vocabulary - the terms in at least
+``min_share`` of all documents, hence at most (mean distinct words of a document
+/ ``min_share``) of them, however many documents there are - and by the labelled
+sample (``max_labels`` documents); partial sums meet in a tree of slices first.
 """
 
 from __future__ import annotations
 
 import html
-import re
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import session
 
-_CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
-_ASCII_CAMEL = re.compile(r"([a-z])([A-Z])")
-_STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*(?:\s+|\Z)")
-#: Marks among the words: the end of a sentence, and of a line without one.
-_FULL, _LINE = "\x01", "\x02"
 #: A line that ends without a full stop is a sentence from this many words on
 #: (a broken line); shorter ones are headings, labels and the like.
 _LINE_WORDS = 8
 _LEAST_WORDS = 3
+#: The code that stands after each sentence; as a counted word it stands for all documents.
 MARK = 0
 SLICES = 16
+#: Columns of the random sketch beyond the dimensions that are kept.
+OVERSAMPLE = 64
 
 
 @dataclass(frozen=True)
@@ -57,11 +57,11 @@ class Options:
     share: float = 0.2
     dimensions: int = 256
     rounds: int = 3
+    settled: float = 0.01
     min_share: float = 0.001
     max_share: float = 0.25
-    max_terms: int = 4096
     max_labels: int = 20_000
-    clear: float = 0.05
+    clear: float = 0.1
     telling: float = 0.3
     min_cosine: float = 0.1
     margin: float = 0.1
@@ -69,142 +69,253 @@ class Options:
     least_seeds: float = 1.5
 
 
-class Letters(dict):
-    """A translation table: letters in lower case, marks kept, all else a blank."""
+class Alphabet:
+    """Classes of code points, learned as they are met."""
 
-    def __missing__(self, point: int) -> str:
-        c = chr(point)
-        known = self[point] = c.lower() if c.isalpha() or c in (_FULL, _LINE) else " "
-        return known
+    LETTER, LOWER, UPPER, SPACE, STOP, CLOSER = 1, 2, 4, 8, 16, 32
 
+    def __init__(self) -> None:
+        self.kind = np.full(0x110000, 128, np.uint8)
+        self.lower = np.zeros(0x110000, np.uint32)
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        """The class bits of every code point."""
+        kinds = self.kind[points]
+        new = points[kinds == 128]
+        if len(new):
+            for p in np.unique(new).tolist():
+                c = chr(p)
+                bits = self.SPACE if c.isspace() else 0
+                if c.isalpha():
+                    bits |= self.LETTER | (self.LOWER if c.islower() else self.UPPER if c.isupper() else 0)
+                    self.lower[p] = ord(c.lower()[0])
+                if c in ".!?…":
+                    bits |= self.STOP
+                if c in "\"'”’»)]":
+                    bits |= self.CLOSER
+                self.kind[p] = bits
+            kinds = self.kind[points]
+        return kinds
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values with their bits well spread (splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-class Codes(dict):
-    """Words as 32-bit codes, remembered; 0 and 1 are the marks."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-            self.update({_FULL: MARK, _LINE: MARK + 1})
-        code = xxhash.xxh32_intdigest(word) - (1 << 31)
-        known = self[word] = code if code not in (MARK, MARK + 1) else 2
-        return known
+class Coder:
+    """Texts as word codes with a 0 after each sentence, many texts at a time.
 
+    All steps are array operations over the code points of the joined texts.  A
+    word is a run of letters, also cut where a capital follows a small letter;
+    its code is a 32-bit hash of its lower-case letters, taken from differences
+    of one running polynomial over the whole array.
+    """
 
-class Coder:
-    """Texts as word codes with a 0 after each sentence, many texts at a time."""
+    BASE = 0x9E3779B97F4A7C15
 
     def __init__(self) -> None:
-        self.letters = Letters()
-        self.codes = Codes({_FULL: MARK, _LINE: MARK + 1})
-
-    def words(self, text: str | None) -> list[str]:
-        """Lower-case words and marks; the last one is a mark."""
-        text = text or ""
-        if "&" in text:
-            text = html.unescape(text)
-        spread = _ASCII_CAMEL.sub(r"\1 \2", text) if text.isascii() else _CAMEL.sub(" ", text)
-        marked = _STOP.sub(f" {_FULL} ", spread).replace("\n", f" {_LINE} ")
-        return f"{marked} {_LINE}".translate(self.letters).split()
+        self.alphabet = Alphabet()
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            size = max(n, 1 << 20)
+            for name, base in (("powers", self.BASE), ("inverse", pow(self.BASE, -1, 1 << 64))):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """``(codes, lengths)``: all codes in a row, and how many each text has."""
-        words: list[str] = []
-        sizes = []
-        for text in texts:
-            mine = self.words(text)
-            sizes.append(len(mine))
-            words += mine
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        marks = (codes == MARK) | (codes == MARK + 1)
-        at = np.flatnonzero(marks)
-        length = np.diff(at, prepend=-1) - 1
-        kept = (length >= _LINE_WORDS) | ((length >= _LEAST_WORDS) & (codes[at] == MARK))
-        codes[at] = MARK
-        mask = kept[np.cumsum(marks) - marks]
+        texts = [html.unescape(t) if t and "&" in t else t or "" for t in texts]
+        joined = "\n".join(texts) + "\n"
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, a = self.alphabet(points), self.alphabet
+        letter = (kinds & a.LETTER).astype(bool)
+        first = letter.copy()
+        first[1:] &= ~letter[:-1] | (((kinds[:-1] & a.LOWER) > 0) & ((kinds[1:] & a.UPPER) > 0))
+        starts = np.flatnonzero(first)
+        last = letter
+        last[:-1] &= ~letter[1:] | first[1:]
+        ends = np.flatnonzero(last) + 1
+        self._reach(len(points) + 1)
+        running = np.zeros(len(points) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(a.lower[points] * self.powers[: len(points)], out=running[1:])
+            hashes = mixed((running[ends] - running[starts]) * self.inverse[starts])
+        words = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        words[words == MARK] = 1
+
+        # Ends of sentences: white space after a stop and closing marks; other ends of lines.
+        space = np.flatnonzero((kinds[1:] & a.SPACE > 0) & (kinds[:-1] & (a.STOP | a.CLOSER) > 0)) + 1
+        back = space - 1
+        while True:
+            closing = (kinds[back] & a.CLOSER > 0) & (back > 0)
+            if not closing.any():
+                break
+            back = back - closing
+        full = np.zeros(len(points), bool)
+        full[space[kinds[back] & a.STOP > 0]] = True
+        mark = full | (points == 10)
+        at = np.flatnonzero(first | mark)
+        is_mark = mark[at]
+        codes = np.zeros(len(at), np.int32)
+        codes[~is_mark] = words
+        place = np.flatnonzero(is_mark)
+        length = np.diff(place, prepend=-1) - 1
+        good = (length >= _LINE_WORDS) | ((length >= _LEAST_WORDS) & full[at[place]])
+        mask = good[np.cumsum(is_mark) - is_mark]
         before = np.concatenate([[0], np.cumsum(mask)])
-        ends = np.cumsum(sizes, dtype=np.int64)
-        return codes[mask].astype(np.int32), np.diff(before[np.concatenate([[0], ends])])
+        cuts = np.searchsorted(at, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        return codes[mask], np.diff(before[cuts])
+
+
+#: Characters of text that are coded at a time, and distinct words counted before they are sent on.
+_AT_ONCE = 1_000_000
+_COUNTED = 1_000_000
+
 
+class Counter:
+    """In how many documents each code stands (code 0: documents in all)."""
 
-#: Characters of text that are coded at a time.
-_AT_ONCE = 8_000_000
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, codes: np.ndarray, lengths: np.ndarray) -> None:
+        document = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+        pairs = np.sort((codes.astype(np.int64) << 31) + document)
+        pairs = pairs[np.diff(pairs, prepend=pairs[0] - 1 if len(pairs) else 0) != 0]
+        words, counts = np.unique(pairs >> 31, return_counts=True)
+        some = words != MARK
+        self.parts.append((np.append(words[some], MARK), np.append(counts[some], len(lengths))))
+        self.held += len(words) + 1
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words, where = np.unique(np.concatenate([w for w, _ in self.parts]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([c for _, c in self.parts])).astype(np.int64)
+        self.parts, self.held = [(words, counts)], len(words)
+        return words, counts
 
 
 def encode(documents: DataFrame) -> DataFrame:
-    """``doc_id, lang, codes``: every document's words, a 0 after each sentence."""
+    """``doc_id, lang, codes, counts``: every document's words, a 0 after each
+    sentence (``counts`` null); and rows without ``doc_id`` that say in how many
+    documents of a part each of ``codes`` stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder()
+        coder, counter, ids = Coder(), Counter(), None
+
+        def tally() -> pa.RecordBatch:
+            words, counts = counter.merged()
+            counter.parts, counter.held = [], 0
+            ends = pa.array([0, len(words)], pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.nulls(1, ids), pa.nulls(1, pa.string()),
+                    pa.ListArray.from_arrays(ends, pa.array(words.astype(np.int32))),
+                    pa.ListArray.from_arrays(ends, pa.array(counts)),
+                ],
+                ["doc_id", "lang", "codes", "counts"],
+            )
+
         for batch in batches:
+            ids = batch.column(0).type
             texts = batch.column(2).to_pylist()
             first, held = 0, 0
             for i, text in enumerate(texts):
                 held += len(text)
                 if held >= _AT_ONCE or i == len(texts) - 1:
                     codes, lengths = coder(texts[first : i + 1])
+                    counter.add(codes, lengths)
+                    if counter.held > 4 * _COUNTED and len(counter.merged()[0]) > _COUNTED:
+                        yield tally()
                     offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
                     part = batch.slice(first, i + 1 - first)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(codes))],
-                        ["doc_id", "lang", "codes"],
+                        [
+                            part.column(0), part.column(1),
+                            pa.ListArray.from_arrays(offsets, pa.array(codes)),
+                            pa.nulls(len(lengths), pa.list_(pa.int64())),
+                        ],
+                        ["doc_id", "lang", "codes", "counts"],
                     )
                     first, held = i + 1, 0
+        if counter.parts:
+            yield tally()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     lang = F.substring(F.lower(F.trim(F.coalesce("lang", F.lit("")))), 1, 2)
     rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     return (
         session.spread(rows.select("doc_id", lang.alias("lang"), "text"))
-        .mapInArrow(run, f"doc_id {kind}, lang string, codes array<int>")
+        .mapInArrow(run, f"doc_id {kind}, lang string, codes array<int>, counts array<bigint>")
     )
 
 
-@dataclass
+#: Documents whose vectors are multiplied at a time.
+_BLOCK = 512
+
+
 class Space:
-    """Vocabulary, idf and, once fitted, weights, basis and centroids."""
-
-    codes: np.ndarray
-    idf: np.ndarray
-    weights: np.ndarray | None = None
-    basis: np.ndarray | None = None
-    centroids: np.ndarray | None = None
-    owners: np.ndarray | None = None
-
-    def rows(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Vocabulary positions, document and sentence number of every known word."""
-        column = batch.column(batch.schema.get_field_index("codes"))
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        document = np.repeat(np.arange(len(lengths)), lengths)
-        at = np.searchsorted(self.codes, flat)
-        at[at == len(self.codes)] = 0
-        marks = flat == MARK
-        known = (self.codes[at] == flat) & ~marks
-        # The sentence of a word is the number of marks before it.
-        sentence = np.cumsum(marks) - marks
-        return at[known], document[known], sentence[known]
-
-    def vectors(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        """Unit term vectors, some hundred documents at a time."""
-        term, document, _ = self.rows(batch)
-        size, step = len(self.codes), 512
-        cuts = np.searchsorted(document, np.arange(0, batch.num_rows + step, step))
-        for i, first in enumerate(range(0, batch.num_rows, step)):
-            part = slice(cuts[i], cuts[i + 1])
-            n = min(step, batch.num_rows - first)
-            counts = np.bincount((document[part] - first) * size + term[part], minlength=n * size)
-            x = np.log1p(counts.reshape(n, size).astype(np.float32)) * self.idf
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            yield first, x / np.maximum(norm, 1e-9)
-
-    def scores(self, x: np.ndarray, subjects: int) -> np.ndarray:
-        """Cosine of each vector with the nearest centroid of every subject."""
-        z = unit((x * self.weights) @ self.basis)
-        near = z @ self.centroids.T
-        out = np.full((len(x), subjects), -1.0, np.float32)
-        for c, s in enumerate(self.owners):
-            out[:, s] = np.maximum(out[:, s], near[:, c])
-        return out
+    """The vocabulary: codes in order, their idf, and a table to look codes up."""
+
+    def __init__(self, codes: np.ndarray, idf: np.ndarray) -> None:
+        self.codes, self.idf = codes, idf
+        self.bits = max(10, math.ceil(math.log2(64 * max(1, len(codes)))))
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.table[self._slot(codes)] = np.arange(len(codes))
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (codes.view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)
+
+    def positions(self, flat: np.ndarray) -> np.ndarray:
+        """The position of every code in the vocabulary, -1 for others."""
+        at = self.table[self._slot(flat)]
+        other = np.flatnonzero((at >= 0) & (self.codes[at] != flat))
+        # A slot that another term holds: searched for (few).
+        there = np.minimum(np.searchsorted(self.codes, flat[other]), len(self.codes) - 1)
+        at[other] = np.where(self.codes[there] == flat[other], there, -1)
+        return at
+
+    def blocks(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``first, rows, terms, x``: unit term vectors of some hundred documents,
+        over the terms that they hold."""
+        flat, lengths = words_of(batch)
+        at, ends = self.positions(flat), np.cumsum(lengths)
+        size = len(self.codes)
+        for first in range(0, len(lengths), _BLOCK):
+            n = min(_BLOCK, len(lengths) - first)
+            a = ends[first] - lengths[first]
+            term = at[a : ends[first + n - 1]]
+            document = np.repeat(np.arange(n), lengths[first : first + n])
+            keys = np.sort((document * size + term)[term >= 0])
+            head = np.flatnonzero(np.diff(keys, prepend=-1))
+            count = np.diff(np.append(head, len(keys)))
+            row, column = np.divmod(keys[head], size)
+            value = np.log1p(count.astype(np.float32)) * self.idf[column]
+            norm = np.sqrt(np.bincount(row, value * value, n))
+            value /= np.maximum(norm, 1e-9)[row].astype(np.float32)
+            present = np.zeros(size, bool)
+            present[column] = True
+            terms = np.flatnonzero(present)
+            x = np.zeros((n, len(terms)), np.float32)
+            x[row, (np.cumsum(present) - 1)[column]] = value
+            yield first, n, terms, x
+
+
+def words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a batch in a row, and how many each document has."""
+    column = batch.column(batch.schema.get_field_index("codes"))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
 
 
 def unit(a: np.ndarray) -> np.ndarray:
@@ -215,10 +326,15 @@ def unit(a: np.ndarray) -> np.ndarray:
 def summed(table: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
     """The sum over all partitions of ``partial(batches) -> matrix``.
 
-    Partial sums are cut into slices of rows that meet on the executors; the
-    driver receives one matrix.
+    At most twice as many tasks as there are cores each sum their share of the
+    table (a narrow merge of partitions).  Their sums are cut into slices of
+    rows that meet in a tree: first some of each slice, then all of it, so that
+    no group holds more than the root of the number of tasks.  The driver
+    receives one matrix.
     """
     bounds = np.linspace(0, shape[0], SLICES + 1).astype(int)
+    tasks = 2 * table.sparkSession.sparkContext.defaultParallelism
+    fan = max(1, math.isqrt(tasks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = partial(batches)
@@ -233,10 +349,13 @@ def summed(table: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
         total = np.zeros(len(parts["part"].iloc[0]) // 4, np.float64)
         for p in parts["part"]:
             total += np.frombuffer(p, np.float32)
-        return pd.DataFrame({"slice": [key[0]], "part": [total.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"slice": [int(key[0])], "part": [total.astype(np.float32).tobytes()]})
 
+    parts = table.coalesce(tasks).mapInArrow(run, "slice int, part binary")
+    branch = F.pmod(F.spark_partition_id(), F.lit(fan)).alias("branch")
     rows = (
-        table.mapInArrow(run, "slice int, part binary")
+        parts.select("slice", "part", branch)
+        .groupBy("slice", "branch").applyInPandas(add, "slice int, part binary")
         .groupBy("slice").applyInPandas(add, "slice int, part binary")
         .collect()
     )
@@ -247,43 +366,58 @@ def summed(table: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def vocabulary(coded: DataFrame, documents: int, o: Options) -> Space:
-    """Terms by document frequency over all documents."""
+def vocabulary(counted: DataFrame, o: Options) -> tuple[Space, int]:
+    """Terms by document frequency over all documents, and how many documents there are."""
+    pairs = counted.select(F.explode(F.arrays_zip("codes", "counts")).alias("c"))
+    totals = pairs.groupBy(F.col("c.codes").alias("code")).agg(F.sum("c.counts").alias("n"))
+    totals = session.scratch(totals, "word-counts")
+    every = totals.where(F.col("code") == MARK).first()
+    documents = every["n"] if every else 0
     least = max(3.0, o.min_share * documents)
-    counts = (
-        coded.select(F.explode(F.array_distinct("codes")).alias("code"))
-        .where(F.col("code") != MARK)
-        .groupBy("code").count()
-        .where((F.col("count") >= least) & (F.col("count") <= o.max_share * documents))
-        .orderBy(F.desc("count"), "code").limit(o.max_terms)
+    kept = (
+        totals.where((F.col("code") != MARK) & (F.col("n") >= least) & (F.col("n") <= o.max_share * documents))
         .toPandas().sort_values("code")
     )
-    idf = np.log(documents / counts["count"].to_numpy(np.float64)) if len(counts) else np.zeros(0)
-    return Space(counts["code"].to_numpy(np.int32), idf.astype(np.float32))
+    idf = np.log(documents / kept["n"].to_numpy(np.float64)) if len(kept) else np.zeros(0)
+    return Space(kept["code"].to_numpy(np.int32), idf.astype(np.float32)), documents
 
 
-def gram(coded: DataFrame, space: Space) -> np.ndarray:
-    """The sum of the outer products of all documents' vectors."""
-    size = len(space.codes)
+def omega(size: int, columns: int) -> np.ndarray:
+    """The fixed random matrix of the sketch."""
+    return np.random.default_rng(5).standard_normal((size, columns), np.float32)
+
+
+def sketched(coded: DataFrame, space: Space, columns: int) -> np.ndarray:
+    """``X'X Omega``, summed over all documents."""
 
     def partial(batches):
-        total = None
+        total, random = None, omega(len(space.codes), columns)
         for batch in batches:
-            for _, x in space.vectors(batch):
-                total = x.T @ x if total is None else total + x.T @ x
+            for _, _, terms, x in space.blocks(batch):
+                if total is None:
+                    total = np.zeros(random.shape, np.float32)
+                total[terms] += x.T @ (x @ random[terms])
         return total
 
-    return summed(coded.select("codes"), partial, (size, size))
+    return summed(coded.select("codes"), partial, (len(space.codes), columns))
+
+
+def factor(sketch: np.ndarray) -> np.ndarray:
+    """``f`` with ``f f'`` close to ``X'X``, from its product with the random matrix."""
+    random = omega(*sketch.shape).astype(np.float64)
+    shift = 1e-6 * max(1e-12, np.linalg.norm(sketch))
+    moved = sketch + shift * random
+    values, vectors = np.linalg.eigh(random.T @ moved)
+    keep = values > 1e-9 * max(values.max(), 1e-12)
+    return moved @ (vectors[:, keep] / np.sqrt(values[keep]))
 
 
-def leading(matrix: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """The ``k`` leading eigenvectors, by subspace iteration from a fixed start."""
-    k = min(k, len(matrix))
-    q = np.random.default_rng(5).standard_normal((len(matrix), min(len(matrix), k + 8)))
-    for _ in range(rounds):
-        q = np.linalg.qr(matrix @ q)[0]
-    values, vectors = np.linalg.eigh(q.T @ matrix @ q)
-    return (q @ vectors[:, ::-1][:, :k]).astype(np.float32)
+def leading(weighted: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` leading left singular vectors."""
+    values, vectors = np.linalg.eigh(weighted.T @ weighted)
+    order = np.argsort(-values)[:k]
+    order = order[values[order] > 1e-9 * max(values.max(), 1e-12)]
+    return (weighted @ vectors[:, order]) / np.sqrt(values[order])
 
 
 def term_weights(holding: np.ndarray, sizes: np.ndarray, rate: np.ndarray, prior: float) -> np.ndarray:
@@ -303,6 +437,22 @@ def clean_subject(c):
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_")
 
 
+def nearest(products: np.ndarray, there: np.ndarray, subjects: int) -> np.ndarray:
+    """The greatest product per subject; columns are groups of all subjects."""
+    shaped = np.where(there, products, -1.0).reshape(len(products), -1, subjects)
+    return shaped.max(axis=1)
+
+
+def best_two(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row the place of the greatest value, it, and the second greatest."""
+    top = near.argmax(axis=1)
+    rows = np.arange(len(near))
+    first = near[rows, top]
+    rest = near.copy()
+    rest[rows, top] = -np.inf
+    return top, first, rest.max(axis=1)
+
+
 def subjects_of(
     documents: DataFrame, labels: DataFrame, subjects: DataFrame, options: Options = Options()
 ) -> DataFrame:
@@ -318,11 +468,11 @@ def subjects_of(
     """
     o = options
     names = sorted(r["subject"] for r in subjects.select("subject").dropna().distinct().collect())
-    coded = session.scratch(encode(documents), "word-codes")
+    both = session.scratch(encode(documents), "word-codes")
+    coded = both.where("counts is null").drop("counts")
     kind = documents.schema["doc_id"].dataType.simpleString()
     empty = documents.sparkSession.createDataFrame([], f"doc_id {kind}, subject string, share double")
-    total = coded.count()
-    space = vocabulary(coded, total, o)
+    space, _ = vocabulary(both.where("counts is not null"), o)
     if not len(space.codes) or len(names) < 2:
         return empty
 
@@ -332,100 +482,103 @@ def subjects_of(
         .groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(o.max_labels)
     )
-    sample = coded.join(known, "doc_id").select("doc_id", "lang", "codes", "subjects").toArrow()
+    sample = coded.join(known, "doc_id").select("lang", "codes", "subjects").toArrow()
     sample = sample.combine_chunks().to_batches()
-    if not sample:
-        return empty
     number = {s: i for i, s in enumerate(names)}
-    langs, marks, rows = [], [], []
-    for batch in sample:
-        rows += [x for _, x in space.vectors(batch)]
-        langs += batch.column("lang").to_pylist()
-        for found in batch.column("subjects").to_pylist():
-            y = np.zeros(len(names), np.float32)
-            y[[number[s] for s in found]] = 1 / len(found)
-            marks.append(y)
-    x, y = np.concatenate(rows), np.stack(marks)
-    # Language groups that hold at least a hundredth of the labelled documents.
+    langs = [x for batch in sample for x in batch.column("lang").to_pylist()]
+    if not langs:
+        return empty
+    # Language groups that hold at least a hundredth of the labelled documents; the last: all others.
     counts = pd.Series(langs).value_counts()
     groups = sorted(counts.index[counts >= max(o.least_seeds, 0.01 * len(langs))])
     group = {g: i for i, g in enumerate(groups)}
-    cells = len(names) * (len(groups) + 1)  # the last group: all languages
-
-    def gather(x: np.ndarray, y: np.ndarray, lang: list[str]) -> np.ndarray:
-        """Per cell: summed vectors, documents with the term, documents."""
-        out = np.zeros((cells, 2 * x.shape[1] + 1))
-        which = np.array([group.get(g, -1) for g in lang])
-        has = (x > 0).astype(np.float32)
-        for i in [*range(len(groups)), -1]:
-            rows = which == i if i >= 0 else np.ones(len(which), bool)
-            block = slice(i * len(names), (i + 1) * len(names)) if i >= 0 else slice(cells - len(names), cells)
-            t = y[rows].T
-            out[block] += np.concatenate([t @ x[rows], t @ has[rows], t.sum(1)[:, None]], axis=1)
-        return out
-
-    size = len(space.codes)
+    size, cells = len(space.codes), len(names) * (len(groups) + 1)
+
+    def cell(lang: list[str]) -> np.ndarray:
+        """The first cell of each document's language group."""
+        return np.array([group.get(g, len(groups)) for g in lang]) * len(names)
+
+    def gather(out: np.ndarray, terms: np.ndarray, x: np.ndarray, share: np.ndarray) -> None:
+        """Adds per cell: summed vectors, documents with each term, documents."""
+        out[:, terms] += share.T @ x
+        out[:, size + terms] += share.T @ (x > 0).astype(np.float32)
+        out[:, -1] += share.sum(0)
+
+    seeds = np.zeros((cells, 2 * size + 1))
+    for batch in sample:
+        at, found = cell(batch.column("lang").to_pylist()), batch.column("subjects").to_pylist()
+        for first, n, terms, x in space.blocks(batch):
+            share = np.zeros((n, cells), np.float32)
+            for i in range(n):
+                for s in found[first + i]:
+                    share[i, at[first + i] + number[s]] = 1 / len(found[first + i])
+            gather(seeds, terms, x, share)
+
     rate = np.exp(-space.idf.astype(np.float64))
-    seeds = gather(x, y, langs)
-    g = gram(coded, space)
-    sums = seeds
+    columns = min(size, o.dimensions + OVERSAMPLE)
+    root = factor(sketched(coded, space, columns))
+    sums, before = seeds, None
     for turn in range(o.rounds + 1):
-        overall = sums[cells - len(names) :]
-        w = term_weights(overall[:, size : 2 * size], overall[:, -1], rate, o.prior)
-        space.weights = w
-        space.basis = leading(g * w[:, None] * w[None, :], o.dimensions)
-        there = sums[:, -1] >= o.least_seeds
-        there[cells - len(names) :] = overall[:, -1] > 0
-        space.centroids = unit((sums[there, :size] * w) @ space.basis).astype(np.float32)
-        space.owners = np.tile(np.arange(len(names)), len(groups) + 1)[there]
-        if turn == o.rounds:
+        overall = sums.reshape(len(groups) + 1, len(names), -1).sum(0)
+        weights = term_weights(overall[:, size : 2 * size], overall[:, -1], rate, o.prior)
+        basis = leading(root * weights[:, None], o.dimensions)
+        # One centroid per cell of a language group, and one per subject over all.
+        raw = np.concatenate([sums[: len(names) * len(groups)], overall])
+        there = np.r_[sums[: len(names) * len(groups), -1] >= o.least_seeds, overall[:, -1] > 0]
+        centroids = unit((raw[:, :size] * weights) @ basis)
+        # The centroids as term vectors: a document's product with them is its product in the space.
+        image = ((basis @ centroids.T) * weights[:, None]).astype(np.float32)
+        now = unit(raw[:, :size])
+        if turn == o.rounds or (before is not None and ((now * before).sum(1)[there] >= 1 - o.settled).all()):
             break
+        before = now
 
-        def partial(batches, space=space):
+        def partial(batches, image=image, there=there, squares=weights.astype(np.float32) ** 2):
             out = None
             for batch in batches:
-                lang = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-                for first, part in space.vectors(batch):
-                    near = space.scores(part, len(names))
-                    top = np.sort(near, axis=1)
-                    sure = np.flatnonzero(top[:, -1] - top[:, -2] > o.clear)
-                    one = np.zeros((len(sure), len(names)), np.float32)
-                    one[np.arange(len(sure)), near[sure].argmax(1)] = 1
-                    new = gather(part[sure], one, [lang[first + i] for i in sure])
-                    out = new if out is None else out + new
+                at = cell(batch.column(batch.schema.get_field_index("lang")).to_pylist())
+                for first, n, terms, x in space.blocks(batch):
+                    near = nearest(x @ image[terms], there, len(names))
+                    near /= np.sqrt(np.maximum(x * x @ squares[terms], 1e-12))[:, None]
+                    top, best, second = best_two(near)
+                    share = np.zeros((n, cells), np.float32)
+                    sure = np.flatnonzero(best - second > o.clear * np.abs(best))
+                    share[sure, at[first + sure] + top[sure]] = 1
+                    out = np.zeros(seeds.shape, np.float32) if out is None else out
+                    gather(out, terms, x, share)
             return out
 
         sums = seeds + summed(coded.select("lang", "codes"), partial, seeds.shape)
 
-    terms = (space.basis * (space.idf * space.weights)[:, None]).astype(np.float32)
-    matters = space.weights >= 0.02
+    image *= space.idf[:, None]
+    squares = ((space.idf * weights) ** 2).astype(np.float32)
+    matters, telling = weights >= 0.02, weights >= o.telling
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("codes"))
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            of = np.repeat(np.arange(len(lengths)), lengths)[flat == MARK]
+            flat, lengths = words_of(batch)
+            marks = flat == MARK
+            of = np.repeat(np.arange(len(lengths)), lengths)[marks]
             sentences = np.bincount(of, minlength=len(lengths))
-            term, _, sentence = space.rows(batch)
-            keep = matters[term]
-            term, sentence = term[keep], sentence[keep]
+            term = space.positions(flat)
+            keep = np.flatnonzero((term >= 0) & matters[term])
+            # The sentence of a word is the number of marks before it.
+            sentence, term = np.cumsum(marks)[keep], term[keep]
+            starts = np.flatnonzero(np.diff(sentence, prepend=-1))
+            # Only sentences with a telling term can be assigned.
+            tells = np.logical_or.reduceat(telling[term], starts) if len(starts) else np.zeros(0, bool)
+            several = np.repeat(tells, np.diff(np.append(starts, len(term))))
+            term, sentence = term[several], sentence[several]
+            starts = np.flatnonzero(np.diff(sentence, prepend=-1))
             hits = [np.empty(0, np.int64)]
-            starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(term) else []
-            for a in range(0, len(starts), 4096):
-                begin = starts[a : a + 4096]
-                stop = starts[a + 4096] if a + 4096 < len(starts) else len(term)
-                part = term[begin[0] : stop]
-                v = unit(np.add.reduceat(terms[part], begin - begin[0], axis=0))
-                telling = np.maximum.reduceat(space.weights[part], begin - begin[0]) >= o.telling
-                close = v @ space.centroids.T
-                near = np.full((len(begin), len(names)), -1.0, np.float32)
-                for c, s in enumerate(space.owners):
-                    near[:, s] = np.maximum(near[:, s], close[:, c])
-                top = np.sort(near, axis=1)
-                clear = (top[:, -1] >= o.min_cosine) & (top[:, -1] - top[:, -2] >= o.margin * top[:, -1])
-                good = telling & clear
-                hits.append(of[sentence[begin[good]]] * len(names) + near[good].argmax(1))
+            for a in range(0, len(starts), 8192):
+                begin = starts[a : a + 8192]
+                part = term[begin[0] : starts[a + 8192] if a + 8192 < len(starts) else len(term)]
+                near = nearest(np.add.reduceat(image[part], begin - begin[0], axis=0), there, len(names))
+                near /= np.sqrt(np.add.reduceat(squares[part], begin - begin[0]))[:, None]
+                top, best, second = best_two(near)
+                good = (best >= o.min_cosine) & (best - second >= o.margin * best)
+                hits.append(of[sentence[begin[good]]] * len(names) + top[good])
             speaks = np.bincount(np.concatenate(hits), minlength=len(lengths) * len(names))
             share = speaks.reshape(len(lengths), len(names)) / np.maximum(sentences, 1)[:, None]
             d, s = np.nonzero(share >= o.share)

@@ -406,8 +406,40 @@ def test_sentences():
     codes, lengths = coder([text, None, "", "Only a title", "Das Übermaß ist groß."])
     assert lengths.tolist() == [len(codes) - 5, 0, 0, 0, 5]
     codes = codes[: lengths[0]]
-    back = {v: k for k, v in coder.codes.items()}
+    back = {coder([f"{w} {w} {w}."])[0][0]: w for w in "escrow balance here means a lot the camel case word stays v too line of words that goes on and without an end".split()}
     sentences = " ".join("|" if c == subjects.MARK else back[c] for c in codes.tolist())
     assert sentences == (
         "escrow balance here means a lot | the camel case word stays v too | a line of words that goes on and on without an end |"
     )
+
+
+def test_codes_do_not_depend_on_place_or_neighbours():
+    coder = subjects.Coder()
+    alone = [coder([t])[0].tolist() for t in ("Ärger im Übermaß (sic!). Next 'one' ends here.", "a &amp; b &lt; c.", "x" * 70_000 + " y z.", "\ud800 odd one out.")]
+    together = coder(["Ärger im Übermaß (sic!). Next 'one' ends here.", "a &amp; b &lt; c.", "x" * 70_000 + " y z.", "\ud800 odd one out."])[0].tolist()
+    assert sum(alone, []) == together and alone[1].count(subjects.MARK) == 1
+    assert alone[0].count(subjects.MARK) == 2 and len(alone[2]) == 4
+
+
+def test_documents_are_counted_per_word():
+    coder, counter = subjects.Coder(), subjects.Counter()
+    for texts in (["one two two three.", "two three four."], ["two five six.", "", None]):
+        counter.add(*coder(texts))
+    words, counts = counter.merged()
+    known = {coder([f"{w} {w} {w}."])[0][0]: w for w in "one two three four five six".split()}
+    found = {known.get(w, "all"): n for w, n in zip(words.tolist(), counts.tolist())}
+    assert found == {"all": 5, "one": 1, "two": 3, "three": 2, "four": 1, "five": 1, "six": 1}
+
+
+def test_positions_and_sketch_against_plain_arithmetic():
+    rng = np.random.default_rng(4)
+    codes = np.unique(rng.integers(-(2**31), 2**31, 5000).astype(np.int32))
+    space = subjects.Space(codes, np.ones(len(codes), np.float32))
+    asked = np.concatenate([codes, rng.integers(-(2**31), 2**31, 5000).astype(np.int32)])
+    place = {c: i for i, c in enumerate(codes.tolist())}
+    assert space.positions(asked).tolist() == [place.get(c, -1) for c in asked.tolist()]
+    x = rng.standard_normal((300, 12)) @ rng.standard_normal((12, 90))
+    root = subjects.factor(x.T @ x @ subjects.omega(90, 40))
+    assert np.allclose(root @ root.T, x.T @ x, atol=1e-3 * np.abs(x.T @ x).max())
+    truth = np.linalg.svd(x)[2][:12].T
+    assert np.allclose(np.abs(np.linalg.svd(truth.T @ subjects.leading(root, 12))[1]), 1, atol=1e-4)
