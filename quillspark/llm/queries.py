@@ -84,7 +84,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of each page."""
-    return boilerplate.main_content(_pages(spark, sf_dir))
+    return boilerplate.main_content(_pages(spark, sf_dir)).distinct()
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,13 +262,78 @@ def test_repeated_rows_are_one_page(spark):
     assert boilerplate.boilerplate_lines(spark.createDataFrame([once] * 5, PAGE)).count() == 0
 
 
-def test_simple_tree_matching_keeps_order():
-    node = boilerplate.Node
-    a = node(0, 0, [node(1), node(2, 0, [node(5), node(6)]), node(3)])
-    b = node(0, 0, [node(3), node(2, 0, [node(6), node(5)]), node(1), node(3)])
-    assert [x.label for x, _ in boilerplate.simple_tree_matching(a, b)].count(3) == 1
-    assert len(boilerplate.simple_tree_matching(a, b)) == 4
-    assert boilerplate.simple_tree_matching(node(1), node(2)) == []
+def tree(*nodes):
+    """``(label, parent)`` pairs as a tree of plain lines."""
+    out = boilerplate.Tree()
+    for line, (label, parent) in enumerate(nodes, 1):
+        out.add(label, parent, line)
+    return out
+
+
+def test_simple_tree_matching_keeps_order_and_nesting():
+    a = tree((1, -1), (2, -1), (5, 1), (6, 1), (3, -1))
+    b = tree((3, -1), (2, -1), (6, 1), (5, 1), (1, -1), (3, -1))
+    pairs = boilerplate.simple_tree_matching(a, b)
+    assert sorted(a.labels[x] for x, _ in pairs) in ([2, 3, 5], [2, 3, 6]) and (4, 5) in pairs
+    # The same labels, but below another parent.
+    assert boilerplate.simple_tree_matching(tree((1, -1), (7, 0)), tree((1, -1), (7, -1))) == [(0, 0)]
+    assert boilerplate.simple_tree_matching(tree((1, -1)), tree()) == []
+
+
+def brute_matching(a, b, xs, ys):
+    if not xs or not ys:
+        return 0
+    best = max(brute_matching(a, b, xs[1:], ys), brute_matching(a, b, xs, ys[1:]))
+    if a.labels[xs[0]] == b.labels[ys[0]]:
+        inner = brute_matching(a, b, a.children()[xs[0]], b.children()[ys[0]])
+        best = max(best, 1 + inner + brute_matching(a, b, xs[1:], ys[1:]))
+    return best
+
+
+def test_simple_tree_matching_is_the_largest():
+    rng = random.Random(11)
+    for _ in range(60):
+        pair = []
+        for _ in range(2):
+            nodes = []
+            for i in range(rng.randrange(1, 9)):
+                nodes.append((rng.randrange(4), rng.randrange(-1, i) if rng.random() < 0.4 else -1))
+            pair.append(tree(*nodes))
+        a, b = pair
+        found = boilerplate.simple_tree_matching(a, b)
+        assert len(found) == brute_matching(a, b, a.children()[-1], b.children()[-1])
+        assert len({x for x, _ in found}) == len({y for _, y in found}) == len(found)
+
+
+def test_a_recurring_sentence_among_varying_ones_is_content(spark):
+    """The same line is template beside constant lines, content among varying ones."""
+    said = "A copyright line in the source file is kept; the year is never changed."
+
+    def body(i, inside):
+        word = "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+        lines = [f"The report {word} was written by hand, in ink, at night.", f"It ends with remark {word} and says no more than that."]
+        if inside:
+            lines.insert(1, said)
+        tail = ["Thanks for your visit to these pages, and come again."] + ([said] if i % 12 == 1 else []) + ["All the rest is kept in the archive of the town."]
+        return "\n".join(lines + tail)
+
+    among = [(i, f"https://one.example/{i}", body(2 * i, i % 12 == 0), "", 0) for i in range(96)]
+    beside = [(1000 + i, f"https://two.example/{i}", body(i, False), "", 0) for i in range(96)]
+    found = {tuple(r) for r in boilerplate.boilerplate_lines(spark.createDataFrame(among + beside, PAGE)).collect()}
+    lines = {p: m.split("\n") for p, _, m, *_ in among + beside}
+    told = {(p, lines[p][n - 1] == said) for p, n in found}
+    assert not any(same for p, same in told if p < 1000)
+    assert sum(same for p, same in told if p >= 1000) == 8
+    assert all(n > 2 for _, n in found) and {p for p, _ in found} == set(lines)
+
+
+def test_wrappers_joined_or_carried_give_the_same(spark, monkeypatch):
+    bodies = [[f"Sentence number {i} speaks of {'abcdefghijklmnopqrstuvwxyz'[i]} and of nothing else."] for i in range(20)]
+    df = spark.createDataFrame([page(i, b) for i, b in enumerate(bodies)], PAGE)
+    carried = rows(boilerplate.boilerplate_lines(df))
+    monkeypatch.setattr(boilerplate, "CARRIED_NODES", 0)
+    monkeypatch.setattr(boilerplate, "PAGES_A_TASK", 7)
+    assert rows(boilerplate.boilerplate_lines(df)) == carried and carried
 
 
 # --- 6. Leakage
