@@ -1,16 +1,19 @@
-"""Mixing sources to target weights.
+"""Mixing sources to target weights, by temperature.
 
-Sizes are tokens of a public tokenizer.  The sampling weights of a scenario lie
-on a path of tempered distributions ``natural**(1-a) * target**a``: exponent 0
-leaves the corpus as it is, exponent 1 gives the targets.  For a given total
-size the exponent is bisected to the largest one at which no source would be
-repeated more often than allowed; ``temperature`` is the plain form without
-targets, bisected to an entropy or a repetition limit.
+Sizes are tokens of a public tokenizer (or characters).  Every mixture takes its
+weights from exponentiated, normalised source shares:
 
-By default the total size is the largest at which the targets hold *exactly*
-(exponent 1): the scarcest source, repeated as often as allowed, sets it.  With
-``budget="corpus"`` or a number of tokens the size is fixed and the shares give
-way instead; sources at their limit stay there and the others share the rest.
+* ``tempered_to_targets`` - with targets, weights lie on the path
+  ``natural**(1-a) * target**a``: exponent 0 leaves the corpus as it is, exponent
+  1 gives the targets.  The exponent goes to 1 for every source whose repetition
+  limit allows it; for one that would be repeated too often at its target it is
+  bisected to the point where the source meets its limit.  The source stays
+  there, and the others share the rest of the total by their tempered weights.
+* ``temperature`` - without targets, weights are ``natural**a`` with ``a``
+  bisected to an entropy or to a repetition limit of all sources.
+
+The total is that of the scenario's sources (``"corpus"``), a number, or
+``"exact"``: the largest at which all targets hold exactly.
 
 The weights become a selection by *block permutations*: a source's documents
 are permuted by a keyed hash, once per repetition; whole blocks are taken as
@@ -54,15 +57,16 @@ def source_name(c):
 
 
 def sized(
-    documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k.tiktoken"
+    documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str | None = "byte_bpe_50k.tiktoken"
 ) -> DataFrame:
-    """``doc_id, source, tokens``: every document's size in tokens.
+    """``doc_id, source, tokens``: every document's size in tokens (in characters
+    without a ``vocabulary``).
 
     Sources are normalised in spelling; documents without a source, and null or
     token-free texts, drop out (they can belong to no target).  Whole texts are
-    counted.
+    counted.  ``tokenizers`` is a folder that every executor can read.
     """
-    path = os.path.join(tokenizers, vocabulary)
+    path = os.path.join(tokenizers, vocabulary or "")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoding(path).encode_ordinary
@@ -72,8 +76,11 @@ def sized(
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text")
+    rows = rows.where("doc_id is not null and source <> '' and text is not null")
+    if vocabulary is None:
+        return rows.select("doc_id", "source", F.length("text").cast("bigint").alias("tokens")).where("tokens > 0")
     return (
-        session.spread(rows.where("doc_id is not null and source <> '' and text is not null"))
+        session.spread(rows)
         .mapInPandas(count, f"doc_id {kind}, source string, tokens bigint")
         .where("tokens > 0")
     )
@@ -129,46 +136,50 @@ def temperature(
     return exponent, tempered(natural, exponent)
 
 
-def weights_for(
+def path(natural: dict[str, float], goal: dict[str, float], exponent: float) -> dict[str, float]:
+    """Shares between the natural ones (exponent 0) and the goal (1), scaled to 1."""
+    raised = {s: natural[s] ** (1 - exponent) * goal[s] ** exponent for s in goal}
+    whole = sum(raised.values())
+    return {s: p / whole for s, p in raised.items()}
+
+
+def tempered_to_targets(
     sizes: dict[str, float],
     targets: dict[str, float],
     caps: dict[str, float | None],
-    budget: float | str = "exact",
-) -> tuple[float, float, dict[str, float]]:
-    """``(exponent, total size, tokens per source)`` for one scenario.
+    total: float | str = "corpus",
+    exponent: float = 1.0,
+) -> dict[str, tuple[float, float]]:
+    """``source -> (exponent, tokens)`` for one scenario; see the module's docstring.
 
     Only sources with a positive target and some documents take part; targets
-    are scaled to 1 among them.  A null cap is no limit.
+    are scaled to 1 among them.  A null cap is no limit.  ``exponent`` is the
+    highest allowed.  A total beyond what all limits permit shrinks to it.
     """
     there = {s: t for s, t in targets.items() if t and t > 0 and sizes.get(s, 0) > 0}
     if not there:
-        return 1.0, 0.0, {}
-    scale = sum(there.values())
-    goal = {s: t / scale for s, t in there.items()}
-    limit = {
-        s: math.inf if caps.get(s) is None else max(0.0, caps[s]) * sizes[s] for s in there
-    }
+        return {}
+    goal = {s: t / sum(there.values()) for s, t in there.items()}
+    limit = {s: math.inf if caps.get(s) is None else max(0.0, caps[s]) * sizes[s] for s in there}
     corpus = float(sum(sizes[s] for s in there))
     natural = {s: sizes[s] / corpus for s in there}
-    if budget == "exact":
-        total = min((limit[s] / goal[s] for s in there), default=0.0)
-        total = corpus if math.isinf(total) else total
-        return 1.0, total, {s: goal[s] * total for s in there}
-    total = min(corpus if budget == "corpus" else float(budget), sum(limit.values()))
-
-    def path(a: float) -> dict[str, float]:
-        mixed = {s: natural[s] ** (1 - a) * goal[s] ** a for s in there}
-        whole = sum(mixed.values())
-        return {s: p / whole for s, p in mixed.items()}
-
-    exponent = bisect(
-        lambda a: all(p * total <= limit[s] * (1 + 1e-9) for s, p in path(a).items()), 0.0, 1.0
-    )
-    # What the path leaves open: sources below their target take, in proportion
-    # to it, what those at their limit cannot.
-    level = bisect(lambda x: sum(min(limit[s], x * goal[s]) for s in there) <= total, 0.0, 1e6 * total)
-    filled = {s: min(limit[s], level * goal[s]) for s in there}
-    return exponent, sum(filled.values()), filled
+    if total == "exact":
+        least = min(limit[s] / goal[s] for s in there)
+        left = corpus if math.isinf(least) else least
+    else:
+        left = min(corpus if total == "corpus" else float(total), sum(limit.values()))
+    out: dict[str, tuple[float, float]] = {}
+    while goal:
+        shares = path(natural, goal, exponent)
+        over = [s for s in goal if shares[s] * left > limit[s] * (1 + 1e-9)]
+        if not over:
+            return out | {s: (exponent, p * left) for s, p in shares.items()}
+        for s in over:
+            at = bisect(lambda a, s=s: path(natural, goal, a)[s] * left <= limit[s], 0.0, exponent)
+            out[s] = (at, min(limit[s], path(natural, goal, at)[s] * left))
+        left -= sum(out[s][1] for s in over)
+        goal = {s: g for s, g in goal.items() if s not in out}
+    return out
 
 
 @dataclass
@@ -200,14 +211,14 @@ class Plan:
         # At most RANGES rows per source.
         ranges = ranges.select("source", "range", "tokens", F.coalesce(before, F.lit(0)).alias("before"))
         cuts = (
-            ranges.join(F.broadcast(wanted), "source")
+            ranges.join(session.broadcast_small(wanted), "source")
             .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("tokens")))
             .select("scenario", "source", F.col("range").alias("cut"), (F.col("rest") - F.col("before")).alias("left"))
         )
         plans = wanted.join(cuts, ["scenario", "source"], "left").select(
             "scenario", "source", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"), "left"
         )
-        taken = docs.join(F.broadcast(plans), "source")
+        taken = docs.join(session.broadcast_small(plans), "source")
         inside = taken.where("range = cut")
         running = F.sum("tokens").over(
             Window.partitionBy("scenario", "source").orderBy("place", "doc_id")
@@ -230,7 +241,7 @@ class Plan:
         )
         whole = Window.partitionBy("scenario")
         return (
-            self.budgets.join(F.broadcast(real), ["scenario", "source"], "left")
+            self.budgets.join(real, ["scenario", "source"], "left")
             .withColumn("tokens", F.coalesce("got", F.lit(0)))
             .withColumn("all", F.sum("tokens").over(whole))
             .select(
@@ -245,8 +256,19 @@ class Plan:
         )
 
 
-def plan(documents: DataFrame, targets: DataFrame, budget: float | str = "exact", seed: int = 17) -> Plan:
-    """Budgets in tokens per scenario and source.
+_BUDGETS = (
+    "scenario string, source string, target_share double, max_repeats double, available bigint,"
+    " exponent double, budget double"
+)
+
+
+def _sizes(documents: DataFrame, named: list[str] | None = None) -> dict[str, int]:
+    kept = documents if named is None else documents.where(F.col("source").isin(named))
+    return {r["source"]: r["n"] for r in kept.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+
+
+def plan(documents: DataFrame, targets: DataFrame, total: float | str = "corpus", seed: int = 17) -> Plan:
+    """Budgets in tokens per scenario and source, tempered to the targets.
 
     ``documents`` as ``sized`` gives them, ``targets`` has ``scenario, source,
     target_share, max_repeats``.  Shares need not add up to 1; a null
@@ -263,26 +285,41 @@ def plan(documents: DataFrame, targets: DataFrame, budget: float | str = "exact"
         .agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
         .collect()
     )
-    named = [r["source"] for r in wanted]
-    sizes = {
-        r["source"]: r["n"]
-        for r in kept.where(F.col("source").isin(named)).groupBy("source").agg(F.sum("tokens").alias("n")).collect()
-    }
+    sizes = _sizes(kept, [r["source"] for r in wanted])
     rows = []
     for scenario in sorted({r["scenario"] for r in wanted}):
         mine = [r for r in wanted if r["scenario"] == scenario]
-        exponent, _, tokens = weights_for(
+        found = tempered_to_targets(
             sizes, {r["source"]: r["target_share"] for r in mine},
-            {r["source"]: r["max_repeats"] for r in mine}, budget,
+            {r["source"]: r["max_repeats"] for r in mine}, total,
         )
-        rows += [
-            (scenario, r["source"], r["target_share"], r["max_repeats"], int(sizes.get(r["source"], 0)),
-             float(exponent), float(tokens.get(r["source"], 0.0)))
-            for r in mine
-        ]
-    budgets = spark.createDataFrame(
-        rows,
-        "scenario string, source string, target_share double, max_repeats double, available bigint,"
-        " exponent double, budget double",
-    )
-    return Plan(kept, budgets, seed)
+        for r in mine:
+            exponent, tokens = found.get(r["source"], (0.0, 0.0))
+            rows.append((
+                scenario, r["source"], r["target_share"], r["max_repeats"],
+                int(sizes.get(r["source"], 0)), float(exponent), float(tokens),
+            ))
+    return Plan(kept, spark.createDataFrame(rows, _BUDGETS), seed)
+
+
+def tempered_plan(
+    documents: DataFrame, evenness: float | None = None, max_repeats: float | None = None, seed: int = 17
+) -> Plan:
+    """A mixture of all sources without targets, as large as the corpus.
+
+    The exponent of the shares is bisected from 1 (as they are) towards 0 (even)
+    up to an entropy of ``evenness`` times the greatest possible one, or until a
+    source would be taken more than ``max_repeats`` times.  The weights appear
+    as ``target_share``.  One row per source reaches the driver.
+    """
+    kept = session.scratch(documents, "document-sizes")
+    sizes = {s: n for s, n in _sizes(kept).items() if n > 0}
+    rows = []
+    if sizes:
+        goal = None if evenness is None else max(
+            entropy(tempered(sizes, 1.0)), evenness * math.log(len(sizes))
+        )
+        exponent, shares = temperature(sizes, goal, max_repeats)
+        whole = sum(sizes.values())
+        rows = [("tempered", s, p, max_repeats, int(sizes[s]), exponent, p * whole) for s, p in sorted(shares.items())]
+    return Plan(kept, documents.sparkSession.createDataFrame(rows, _BUDGETS), seed)

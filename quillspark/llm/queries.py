@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import boilerplate, leakage, mixing, neighbours, seen, splitter, subjects
@@ -87,28 +87,45 @@ def p5_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_content(_pages(spark, sf_dir)).distinct()
 
 
+def _mixture(spark: SparkSession, sf_dir: str, total: str = "corpus", **size) -> mixing.Plan:
+    documents = mixing.sized(load(spark, sf_dir, "documents"), **size)
+    return mixing.plan(documents, load(spark, sf_dir, "mix_targets"), total)
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per scenario the documents of the mixture and how often each is taken."""
-    plan = mixing.plan(
-        mixing.sized(load(spark, sf_dir, "documents")), load(spark, sf_dir, "mix_targets")
-    )
-    return plan.selection()
+    return _mixture(spark, sf_dir).selection()
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares per scenario and source."""
-    plan = mixing.plan(
-        mixing.sized(load(spark, sf_dir, "documents")), load(spark, sf_dir, "mix_targets")
-    )
-    return plan.report()
+    return _mixture(spark, sf_dir).report()
+
+
+def p7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares at the largest total at which every target holds exactly."""
+    return _mixture(spark, sf_dir, "exact").report()
+
+
+def p7_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources, the exponent bisected to 0.9 of the greatest entropy."""
+    return mixing.tempered_plan(mixing.sized(load(spark, sf_dir, "documents")), evenness=0.9).report()
+
+
+def p7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources, as even as four passes over the smallest allow."""
+    return mixing.tempered_plan(mixing.sized(load(spark, sf_dir, "documents")), max_repeats=4.0).report()
 
 
-def p7_fixed_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares at a budget of all tokens, the exponent bisected to the repetition limits."""
-    plan = mixing.plan(
-        mixing.sized(load(spark, sf_dir, "documents")), load(spark, sf_dir, "mix_targets"), budget="corpus"
+def p7_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets and their shares with sizes in characters, so that SQL can count them."""
+    budgets = _mixture(spark, sf_dir, vocabulary=None).budgets
+    whole = Window.partitionBy("scenario")
+    return budgets.select(
+        "scenario", "source", "available", F.round("budget", 2).alias("budget"),
+        F.round(F.coalesce(F.col("budget") / F.sum("budget").over(whole), F.lit(0.0)), 6).alias("share"),
+        F.round(F.when(F.col("available") > 0, F.col("budget") / F.col("available")).otherwise(0.0), 6).alias("repeats"),
     )
-    return plan.report()
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +150,8 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         p1_found, p1_neighbours, p3_found, p3_error_rate, p4_found, p4_pieces, p5_found, p5_content,
-        p6_found, p6_coverage, p7_mix, p7_shares, p7_fixed_budget, p8_found, p8_composition,
+        p6_found, p6_coverage, p7_mix, p7_shares, p7_exact, p7_entropy, p7_repeats, p7_budgets,
+        p8_found, p8_composition,
     )
 }
 
@@ -157,7 +175,46 @@ ranked as (
 )
 """
 
+_SOURCE = "regexp_replace(lower(trim(source)), '[\\s\\-]+', '_', 'g')"
+
 ORACLES: dict[str, str] = {
+    # A source at its limit has least limit per target; sorted by that, the level
+    # of the others is what is left of the total per target left.
+    "p7_budgets": f"""
+with sizes as (
+  select {_SOURCE} as source, sum(length(text))::bigint as n from documents
+  where doc_id is not null and text is not null and source is not null group by 1
+),
+wanted as (
+  select scenario, {_SOURCE} as source, max(target_share) as t, max(max_repeats) as r
+  from mix_targets where scenario is not null and source is not null group by 1, 2
+),
+all_rows as (select w.*, coalesce(n, 0)::bigint as available from wanted w left join sizes using (source)),
+there as (
+  select scenario, source, t, available,
+    case when r is null then 'infinity'::double else greatest(0, r) * available end as lim
+  from all_rows where t > 0 and available > 0
+),
+total as (select scenario, least(sum(available)::double, sum(lim)) as total from there group by 1),
+placed as (
+  select *, lim / t as ratio, row_number() over w as place,
+    coalesce(sum(case when isinf(lim) then 0 else lim end) over (w rows between unbounded preceding and 1 preceding), 0) as taken,
+    sum(t) over (w rows between current row and unbounded following) as rest
+  from there join total using (scenario) window w as (partition by scenario order by lim / t, source)
+),
+level as (
+  select scenario, arg_min((total - taken) / rest, place) as x from placed where (total - taken) / rest <= ratio group by 1
+),
+budgets as (
+  select a.scenario, a.source, a.available,
+    coalesce(case when p.lim <= x * p.t then p.lim else coalesce(x * p.t, p.lim) end, 0)::double as budget
+  from all_rows a left join placed p using (scenario, source) left join level using (scenario)
+)
+select scenario, source, available, round(budget, 2) as budget,
+  round(coalesce(budget / nullif(sum(budget) over (partition by scenario), 0), 0), 6) as share,
+  round(case when available > 0 then budget / available else 0 end, 6) as repeats
+from budgets
+""",
     "p1_found": f"""
 with {_CURRENT}
 select distinct least(k, n) as chunk_id_a, greatest(k, n) as chunk_id_b from ranked where r <= 5

@@ -382,19 +382,61 @@ def test_tiling_covers_reordered_passages():
 # --- 7. Mixing
 
 
-def test_weights():
+def test_tempered_to_targets():
     sizes = {"a": 1000, "b": 100, "c": 10}
-    exponent, total, tokens = mixing.weights_for(sizes, {"a": 1, "b": 1, "c": 2, "none": 1}, {"a": None, "b": 2.0, "c": 3.0})
-    assert exponent == 1.0 and tokens["c"] == pytest.approx(30) and total == pytest.approx(60)
-    assert mixing.weights_for(sizes, {"none": 1}, {}) == (1.0, 0.0, {})
-    exponent, total, tokens = mixing.weights_for(sizes, {"a": 1, "b": 1, "c": 2}, {"a": 1.0, "b": 2.0, "c": 3.0}, "corpus")
-    assert 0 < exponent < 1 and total == pytest.approx(1110) and tokens == pytest.approx({"a": 880, "b": 200, "c": 30})
-    exponent, shares = mixing.temperature(sizes, max_repeats=2.0)
+    caps = {"a": None, "b": 2.0, "c": 3.0}
+    exact = mixing.tempered_to_targets(sizes, {"a": 1, "b": 1, "c": 2, "none": 1}, caps, "exact")
+    assert exact["c"][1] == pytest.approx(30) and sum(t for _, t in exact.values()) == pytest.approx(60)
+    assert {e for e, _ in exact.values()} == {1.0}
+    assert mixing.tempered_to_targets(sizes, {"none": 1}, {}) == {}
+    # Two sources meet their limits below their targets, the third takes the rest.
+    found = mixing.tempered_to_targets(sizes, {"a": 1, "b": 1, "c": 2}, {"a": 1.0, "b": 2.0, "c": 3.0})
+    assert {s: t for s, (_, t) in found.items()} == pytest.approx({"a": 880, "b": 200, "c": 30})
+    assert found["a"][0] == 1.0 and 0 < found["b"][0] < 1 and 0 < found["c"][0] < 1
+    # The exponent decides the tokens.
+    for exponent in (0.0, 0.1, 0.2):
+        forced = mixing.tempered_to_targets(sizes, {"a": 1, "b": 1, "c": 2}, {}, exponent=exponent)
+        raised = {s: sizes[s] ** (1 - exponent) * g**exponent for s, g in {"a": 1, "b": 1, "c": 2}.items()}
+        assert {s: t for s, (_, t) in forced.items()} == pytest.approx({s: 1110 * r / sum(raised.values()) for s, r in raised.items()})
+    assert mixing.tempered_to_targets(sizes, {"a": 1, "c": 1}, {"a": 0.0, "c": 0.5}) == {"a": (0.0, 0.0), "c": (pytest.approx(1.0, abs=1), pytest.approx(5.0))}
+
+
+@given(
+    st.lists(st.tuples(st.integers(1, 10**6), st.floats(0.01, 10), st.one_of(st.none(), st.floats(0, 5))), min_size=1, max_size=8),
+    st.sampled_from(["corpus", "exact", 1000.0]),
+)
+@settings(max_examples=200, deadline=None)
+def test_budgets_fill_the_total_within_the_limits(rows, total):
+    sizes = {f"s{i}": n for i, (n, _, _) in enumerate(rows)}
+    targets, caps = {f"s{i}": t for i, (_, t, _) in enumerate(rows)}, {f"s{i}": c for i, (_, _, c) in enumerate(rows)}
+    found = mixing.tempered_to_targets(sizes, targets, caps, total)
+    limit = {s: math.inf if caps[s] is None else caps[s] * sizes[s] for s in sizes}
+    assert all(t <= limit[s] * (1 + 1e-6) + 1e-6 for s, (_, t) in found.items())
+    if total != "exact":
+        goal = min(sum(sizes.values()) if total == "corpus" else total, sum(limit.values()))
+        assert sum(t for _, t in found.values()) == pytest.approx(goal, rel=1e-6, abs=1e-6)
+    # Sources below their limits have shares in proportion to their targets.
+    free = [t / targets[s] for s, (_, t) in found.items() if t < limit[s] * (1 - 1e-6)]
+    assert not free or max(free) == pytest.approx(min(free), rel=1e-6)
+
+
+def test_temperature():
+    sizes = {"a": 1000, "b": 100, "c": 10}
+    _, shares = mixing.temperature(sizes, max_repeats=2.0)
     assert max(shares[s] * 1110 / sizes[s] for s in sizes) == pytest.approx(2.0, rel=1e-6)
-    exponent, shares = mixing.temperature(sizes, target_entropy=0.8)
+    _, shares = mixing.temperature(sizes, target_entropy=0.8)
     assert mixing.entropy(shares) == pytest.approx(0.8, abs=1e-6)
 
 
+def test_tempered_plan(spark):
+    docs = spark.createDataFrame([(i, "abbcccc"[i % 7], 10) for i in range(700)], "doc_id bigint, source string, tokens bigint")
+    report = {r["source"]: r for r in mixing.tempered_plan(docs, evenness=0.95).report().collect()}
+    assert mixing.entropy({s: r["actual_share"] for s, r in report.items()}) == pytest.approx(0.95 * math.log(3), abs=0.01)
+    report = {r["source"]: r for r in mixing.tempered_plan(docs, max_repeats=1.5).report().collect()}
+    assert report["a"]["repeats"] == pytest.approx(1.5, abs=0.02) and report["a"]["exponent"] < 1
+    assert mixing.tempered_plan(docs.limit(0), evenness=0.9).report().count() == 0
+
+
 def test_mixture_meets_its_budgets(spark):
     rng = random.Random(7)
     docs = [(i, rng.choice(["a"] * 8 + ["b"]), rng.randrange(1, 200)) for i in range(3000)]
@@ -402,7 +444,7 @@ def test_mixture_meets_its_budgets(spark):
     targets = spark.createDataFrame(
         [("s", "A ", 0.5, 2.0), ("s", "b", 0.5, 1.5), ("t", "a", 1.0, None), ("t", "no", 1.0, 1.0), ("u", "no", 1.0, 1.0), ("s", None, 1.0, 1.0), ("s", "a", None, None)],
         "scenario string, source string, target_share double, max_repeats double")
-    plan = mixing.plan(df, targets)
+    plan = mixing.plan(df, targets, "exact")
     report = {(r["scenario"], r["source"]): r for r in plan.report().collect()}
     assert abs(report["s", "a"]["actual_share"] - 0.5) < 0.01 and report["s", "b"]["repeats"] == pytest.approx(1.5, abs=0.01)
     assert report["t", "a"]["actual_share"] == 1.0 and report["t", "a"]["repeats"] == 1.0
@@ -410,7 +452,7 @@ def test_mixture_meets_its_budgets(spark):
     chosen = plan.selection()
     assert chosen.groupBy("scenario", "doc_id").count().where("count > 1").count() == 0
     assert chosen.where("scenario = 's' and source = 'b'").agg({"copies": "max"}).first()[0] == 2
-    assert rows(chosen) == rows(mixing.plan(df.repartition(7), targets).selection())
+    assert rows(chosen) == rows(mixing.plan(df.repartition(7), targets, "exact").selection())
     assert mixing.plan(df.limit(0), targets).selection().count() == 0
     assert mixing.plan(df, targets.limit(0)).report().count() == 0
 
