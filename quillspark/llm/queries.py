@@ -52,8 +52,7 @@ def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts beyond their limit, and whether a single line is."""
-    pieces = splitter.split_items(_limited(spark, sf_dir), "chunk_id", "text", with_text=False)
-    return splitter.oversized(pieces, "chunk_id")
+    return splitter.oversized(splitter.split_items(_limited(spark, sf_dir), "chunk_id", "text"), "chunk_id")
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +60,11 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitter.split_items(_limited(spark, sf_dir), "chunk_id", "text")
 
 
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits, overlaps and lossless pieces of every text that is split."""
+    return splitter.restored(_limited(spark, sf_dir), "chunk_id", "text").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share at least twelve consecutive words with an item's passage."""
     found = leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
@@ -149,7 +153,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        p1_found, p1_neighbours, p3_found, p3_error_rate, p4_found, p4_pieces, p5_found, p5_content,
+        p1_found, p1_neighbours, p3_found, p3_error_rate, p4_found, p4_pieces, p4_restored, p5_found, p5_content,
         p6_found, p6_coverage, p7_mix, p7_shares, p7_exact, p7_entropy, p7_repeats, p7_budgets,
         p8_found, p8_composition,
     )
@@ -236,6 +240,11 @@ select distinct chunk_id,
     then 'hard' else 'soft' end as cut
 from kb_documents k join chunk_options o on coalesce(k.option_set, 'default') = o.option_set
 where length(text) > 4 * chunk_size
+""",
+    "p4_restored": """
+select distinct chunk_id, true as within, true as overlapping, md5(text) as text_md5
+from kb_documents k join chunk_options o on coalesce(k.option_set, 'default') = o.option_set
+where length(text) > 4 * chunk_size
 """,
     "p3_error_rate": """
 with records as (

@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,34 +31,44 @@ LEVELS: tuple[tuple[str, re.Pattern[str]], ...] = (
 )
 
 
-def cut_points(text: str, room: int, level: int = 0, at: int = 0, end: int | None = None) -> list[tuple[int, str]]:
-    """``(offset, level name)`` cuts so that no stretch between cuts exceeds ``room``.
+def cut_points(text: str, size: int, overlap: int = 0) -> list[tuple[int, str]]:
+    """``(offset, level name)`` of the cuts of a text.
 
-    Units of one level are packed greedily; a unit that alone exceeds the room
-    is cut by the finer levels, and packing goes on from its last cut.
+    The first piece has room for ``size`` characters, later ones for ``size -
+    overlap``, since they begin with the overlap.  Units of one level are packed
+    greedily; a unit that alone exceeds the room is cut by the finer levels, and
+    packing goes on from its last cut.
     """
-    end = len(text) if end is None else end
     cuts: list[tuple[int, str]] = []
-    start = at
-    if level == len(LEVELS):
-        while end - start > room:
-            start += room
-            cuts.append((start, "character"))
-        return cuts
-    name, separator = LEVELS[level]
-    last = at  # the latest boundary that still fits into the open piece
-    for boundary in [*(m.end() for m in separator.finditer(text, at, end)), end]:
-        if boundary <= last:
-            continue
-        if boundary - start > room:
-            if last > start:
-                cuts.append((last, name))
-                start = last
+    start, room = 0, size
+
+    def cut(at: int, name: str) -> None:
+        nonlocal start, room
+        cuts.append((at, name))
+        start, room = at, size - overlap
+
+    def walk(level: int, at: int, end: int) -> None:
+        if level == len(LEVELS):
+            while end - start > room:
+                cut(start + room, "character")
+            return
+        name, separator = LEVELS[level]
+        last = at  # the latest boundary that still fits into the open piece
+        for match in separator.finditer(text, at, end):
+            boundary = match.end()
             if boundary - start > room:
-                inner = cut_points(text, room, level + 1, start, boundary)
-                cuts += inner
-                start = inner[-1][0]
-        last = boundary
+                reach(last, boundary, level, name)
+            last = boundary
+        if end > last and end - start > room:
+            reach(last, end, level, name)
+
+    def reach(last: int, boundary: int, level: int, name: str) -> None:
+        if last > start:
+            cut(last, name)
+        if boundary - start > room:
+            walk(level + 1, start, boundary)
+
+    walk(0, 0, len(text))
     return cuts
 
 
@@ -73,34 +83,39 @@ def split(text: str, size: int, overlap: int) -> list[tuple[int, int, int, str]]
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("need size > 0 and 0 <= overlap < size")
-    if len(text) <= size:
-        return [(0, 0, len(text), "end")]
-    # The first piece has no prefix: it may use the whole size.
-    head = cut_points(text, size)[0]
-    # Text after it is cut with the room that the prefix leaves.
-    rest = cut_points(text, size - overlap, at=head[0])
-    cuts = [head, *rest, (len(text), "end")]
     pieces, begin = [], 0
-    for end, name in cuts:
+    for end, name in [*cut_points(text, size, overlap), (len(text), "end")]:
         pieces.append((max(0, begin - overlap), begin, end, name))
         begin = end
     return pieces
 
 
+_FINER = ("sentence", "word", "character")
+
+
+def cut_inside_long_line(text: str, pieces: list[tuple[int, int, int, str]], size: int) -> bool:
+    """Whether a cut of these pieces had to fall inside a line that alone exceeds ``size``."""
+    low = high = -1  # the line of the last cut inside one
+    for _, _, at, boundary in pieces:
+        if boundary not in _FINER:
+            continue
+        if not low < at < high:
+            low, high = text.rfind("\n", 0, at), text.find("\n", at)
+            high = len(text) if high < 0 else high
+        if high - low - 1 > size:
+            return True
+    return False
+
+
 SCHEMA = (
     "piece int, pieces int, start int, new_from int, end int, boundary string, "
     "text string, cut string, size int"
 )
+#: Characters of pieces that are sent on at a time.
+_AT_ONCE = 4_000_000
 
 
-def split_items(
-    items: DataFrame,
-    key: str,
-    text: str,
-    size: str = "size",
-    overlap: str = "overlap",
-    with_text: bool = True,
-) -> DataFrame:
+def split_items(items: DataFrame, key: str, text: str, size: str = "size", overlap: str = "overlap") -> DataFrame:
     """The pieces of every item longer than its size.
 
     ``items`` has a key, a text and per row the limit and the overlap in
@@ -110,43 +125,67 @@ def split_items(
     key and ``piece`` (from 0), ``pieces``, ``start``, ``new_from``, ``end``
     (offsets into the text; the part before ``new_from`` is overlap),
     ``boundary`` (level of the cut at the end), ``text``, ``size`` and ``cut``:
-    ``hard`` if the item has a line that alone exceeds the limit, so that the
-    splitter had to cut inside lines, else ``soft``.  ``with_text=False`` leaves
-    ``text`` null where the offsets are enough.
+    ``hard`` if a cut had to fall inside a line that alone exceeds the limit,
+    else ``soft``.
     """
     long = (
         items.select(
             F.col(key).alias("__key"), F.col(text).alias("__text"),
-            F.col(size).alias("__size"), F.col(overlap).alias("__overlap"),
+            F.col(size).cast("int").alias("__size"), F.col(overlap).cast("int").alias("__overlap"),
         )
         .where(F.length("__text") > F.col("__size"))
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # One item at a time: its pieces repeat its text at most size/(size-overlap) times.
-            for k, body, limit, over in batch.itertuples(index=False, name=None):
-                cut = "hard" if any(len(x) > limit for x in body.split("\n")) else "soft"
-                pieces = split(body, int(limit), int(over))
-                for at in range(0, len(pieces), 1000):
-                    part = pieces[at : at + 1000]
-                    yield pd.DataFrame(
-                        {
-                            "__key": k,
-                            "piece": range(at, at + len(part)),
-                            "pieces": len(pieces),
-                            "start": [p[0] for p in part],
-                            "new_from": [p[1] for p in part],
-                            "end": [p[2] for p in part],
-                            "boundary": [p[3] for p in part],
-                            "text": [body[p[0] : p[2]] if with_text else None for p in part],
-                            "cut": cut,
-                            "size": int(limit),
-                        }
-                    )
+            texts, sizes, overlaps = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            rows: list[tuple] = []
+            held = 0
+
+            def send(batch=batch) -> pa.RecordBatch:
+                at, *columns = zip(*rows)
+                kinds = [pa.int32()] * 5 + [pa.string()] * 3 + [pa.int32()]
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at))] + [pa.array(c, k) for c, k in zip(columns, kinds)],
+                    ["__key", *(c.split()[0] for c in SCHEMA.split(", "))],
+                )
+
+            for at, (body, limit, over) in enumerate(zip(texts, sizes, overlaps)):
+                pieces = split(body, limit, over)
+                cut = "hard" if cut_inside_long_line(body, pieces, limit) else "soft"
+                for number, (begin, new, end, boundary) in enumerate(pieces):
+                    rows.append((at, number, len(pieces), begin, new, end, boundary, body[begin:end], cut, limit))
+                    held += end - begin
+                    # An item's pieces repeat its text: they go on before they add up.
+                    if held > _AT_ONCE:
+                        yield send()
+                        rows, held = [], 0
+            if rows:
+                yield send()
 
     kind = items.schema[key].dataType.simpleString()
-    return long.mapInPandas(run, f"__key {kind}, {SCHEMA}").withColumnRenamed("__key", key)
+    return long.mapInArrow(run, f"__key {kind}, {SCHEMA}").withColumnRenamed("__key", key)
+
+
+def restored(items: DataFrame, key: str, text: str, size: str = "size", overlap: str = "overlap") -> DataFrame:
+    """``key, within, overlapping, text_md5``: per split item whether every piece is
+    within the limit, whether all overlaps are as asked for, and the hash of the
+    text put together again from the pieces (an item's pieces meet in one row)."""
+    rows = items.withColumn("__row", F.monotonically_increasing_id())
+    carried = rows.select(F.struct("__row", key, overlap).alias("__item"), text, size, overlap)
+    pieces = split_items(carried, "__item", text, size, overlap)
+    new = F.expr("substring(text, new_from - start + 1)")
+    asked = F.least(F.col(f"__item.{overlap}").cast("int"), F.col("new_from"))
+    whole = F.array_sort(F.collect_list(F.struct("piece", new.alias("new"))))
+    return (
+        pieces.groupBy("__item", "pieces")
+        .agg(
+            F.bool_and((F.length("text") <= F.col("size")) & (F.length("text") > 0)).alias("within"),
+            F.bool_and(F.col("new_from") - F.col("start") == asked).alias("overlapping"),
+            F.md5(F.array_join(F.transform(whole, lambda p: p["new"]), "")).alias("text_md5"),
+        )
+        .select(F.col(f"__item.{key}").alias(key), "within", "overlapping", "text_md5")
+    )
 
 
 def with_limits(documents: DataFrame, options: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Training-data operators against brute force, with hostile rows."""
 
 import datetime
+import hashlib
 import math
 import random
 
@@ -217,6 +218,21 @@ def test_split_items(spark):
     assert rows(splitter.oversized(pieces, "chunk_id")) == [("a", "hard"), ("b", "soft"), ("f", "hard"), ("g", "hard")]
     assert all(len(r["text"]) <= 40 and r["text"] for r in pieces.collect())
     assert splitter.split_items(splitter.with_limits(docs.limit(0), options), "chunk_id", "text").count() == 0
+    whole = splitter.restored(splitter.with_limits(docs, options), "chunk_id", "text")
+    texts = {r["chunk_id"]: r["text"] for r in docs.collect()}
+    assert whole.count() == 5 and all(
+        r["within"] and r["overlapping"] and r["text_md5"] == hashlib.md5(texts[r["chunk_id"]].encode()).hexdigest() for r in whole.collect()
+    )
+
+
+@given(
+    st.lists(st.sampled_from(["word ", "Longerword", ". ", "\n", "\n\n", "\n# Head\n", "x" * 30, "  "]), max_size=80).map("".join),
+    st.integers(8, 60), st.integers(0, 7),
+)
+@settings(max_examples=150, deadline=None)
+def test_cuts_tell_whether_a_line_is_too_long(text, size, overlap):
+    pieces = splitter.split(text, size, overlap)
+    assert splitter.cut_inside_long_line(text, pieces, size) == any(len(line) > size for line in text.split("\n"))
 
 
 # --- 5. Boilerplate
