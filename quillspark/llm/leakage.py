@@ -195,60 +195,73 @@ def leaks(
     columns are ignored.  A row per pair with a common run of at least
     ``min_match`` words: ``longest`` tile, number of ``tiles``, ``covered``
     words of the passage, ``passage_words`` and ``coverage`` (their quotient,
-    at least ``min_coverage``).  Null and empty texts and passages shorter than
-    ``min_match`` words match nothing; repeated rows repeat their result (of
-    items: are taken once).  Whole texts are read, whatever their length.
+    at least ``min_coverage``).  Of an item's several passages the best covered
+    one counts.  Null and empty texts and passages shorter than ``min_match``
+    words match nothing; repeated rows repeat their result (of items: are taken
+    once).  Whole texts are read, whatever their length.
     """
-    rows = (
-        items.where("item_id is not null and passage is not null")
-        .groupBy("item_id").agg(F.max("passage").alias("passage"))
-        .select("item_id", "passage", F.size(F.split("passage", r"\W+")).alias("n"))
-    )
-    # Passages meet the documents in blocks of bounded size, each small enough
-    # to be carried to every task; an evaluation set is one block.
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for r in rows.toLocalIterator():
-        if held and held + r["n"] > max_seed_words:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["item_id"], r["passage"]))
-        held += r["n"]
+    spark = documents.sparkSession
+    rows = items.where("item_id is not null and passage is not null").select("item_id", "passage").distinct()
+    rows = session.scratch(rows.withColumn("n", F.size(F.split("passage", r"\W+"))), "passages")
+    # Passages meet the documents in blocks, each small enough to be carried to
+    # every task (an evaluation set is one block); the driver holds one at a time.
+    blocks = 1 + (rows.agg(F.sum("n")).first()[0] or 0) // max_seed_words
+    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     kind = documents.schema["doc_id"].dataType.simpleString()
     texts = session.spread(documents.select("doc_id", "text"))
-    parts = [
-        texts.mapInPandas(
-            _matcher(documents, block, min_match, min_coverage), f"doc_id {kind}, {FOUND}"
-        )
-        for block in blocks
-    ]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    found = None
+    for b in range(blocks):
+        held = rows.where(block == b).select("item_id", "passage").orderBy("item_id", "passage")
+        carried = spark.sparkContext.broadcast([tuple(r) for r in held.toLocalIterator()])
+        part = texts.mapInPandas(_matcher(carried, min_match, min_coverage), f"doc_id {kind}, {FOUND}")
+        found = part if found is None else found.unionByName(part)
     return found
 
 
-def _matcher(documents: DataFrame, block: list[tuple[int, str]], width: int, least: float):
-    carried = documents.sparkSession.sparkContext.broadcast(block)
+def _matcher(carried, width: int, least: float):
+    names = ["doc_id", *(c.split()[0] for c in FOUND.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = Seeds(carried.value, width)
         for batch in batches:
             ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             numbers = [seeds.numbers(t) for t in texts]
-            out = []
+            best: dict[tuple[int, int], tuple] = {}
             for d, p in seeds.candidates(numbers):
                 passage = seeds.texts[p]
                 tiles = tile(passage, numbers[d], width)
                 covered = sum(n for _, _, n in tiles)
                 if tiles and covered >= least * len(passage):
-                    out.append(
-                        (ids[d], seeds.items[p], max(n for _, _, n in tiles), len(tiles),
-                         covered, len(passage), covered / len(passage))
-                    )
-            yield pd.DataFrame(
-                out,
-                columns=["doc_id", "item_id", "longest", "tiles", "covered", "passage_words", "coverage"],
-            )
+                    one = (covered / len(passage), max(n for _, _, n in tiles), len(tiles), covered, len(passage))
+                    pair = d, seeds.items[p]
+                    best[pair] = max(one, best.get(pair, one))
+            out = [
+                (ids[d], item, longest, tiles, covered, size, share)
+                for (d, item), (share, longest, tiles, covered, size) in best.items()
+            ]
+            yield pd.DataFrame(out, columns=names)
 
     return run
+
+
+def leaks_by_shingles(documents: DataFrame, items: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
+    """``doc_id, item_id`` by another road, to hold ``leaks`` against: every run of
+    ``min_match`` words of every document, joined with those of the passages."""
+
+    def runs(rows: DataFrame, key: str, text: str) -> DataFrame:
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [" ".join(words(t or "")) for t in batch[text]]
+                yield pd.DataFrame({key: batch[key], "w": found})
+
+        kind = rows.schema[key].dataType.simpleString()
+        parts = rows.select(key, text).mapInPandas(cut, f"{key} {kind}, w string").select(key, F.split("w", " ").alias("w"))
+        starts = F.sequence(F.lit(1), F.size("w") - (min_match - 1))
+        return parts.where(F.size("w") >= min_match).select(
+            key, F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, min_match), " "))).alias("run")
+        )
+
+    asked = session.scratch(runs(items.where("item_id is not null"), "item_id", "passage").distinct(), "passage-runs")
+    # Passages are an evaluation set; beyond the counted bound the join shuffles.
+    asked = session.broadcast_small(asked, MAX_SEED_WORDS)
+    return runs(session.spread(documents.select("doc_id", "text")), "doc_id", "text").join(asked, "run").select("doc_id", "item_id").distinct()

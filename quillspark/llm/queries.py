@@ -77,6 +77,15 @@ def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("coverage", F.round("coverage", 6)).distinct()
 
 
+def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of ``p6_found`` that a join of all runs of words does not give, or the other way round."""
+    documents, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")
+    found = leakage.leaks(documents, items).select("doc_id", "item_id").distinct().withColumn("s", F.lit(1))
+    other = leakage.leaks_by_shingles(documents, items).withColumn("s", F.lit(-1))
+    pairs = found.unionByName(other).groupBy("doc_id", "item_id").agg(F.sum("s").alias("s"))
+    return pairs.agg(F.count_if(F.col("s") != 0).alias("differing"), (F.count("*") > 0).alias("any_found"))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "bloom_entries").where("kind = 'content'")
 
@@ -154,7 +163,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         p1_found, p1_neighbours, p3_found, p3_error_rate, p4_found, p4_pieces, p4_restored, p5_found, p5_content,
-        p6_found, p6_coverage, p7_mix, p7_shares, p7_exact, p7_entropy, p7_repeats, p7_budgets,
+        p6_found, p6_coverage, p6_agreement, p7_mix, p7_shares, p7_exact, p7_entropy, p7_repeats, p7_budgets,
         p8_found, p8_composition,
     )
 }
@@ -246,6 +255,7 @@ select distinct chunk_id, true as within, true as overlapping, md5(text) as text
 from kb_documents k join chunk_options o on coalesce(k.option_set, 'default') = o.option_set
 where length(text) > 4 * chunk_size
 """,
+    "p6_agreement": "select 0::bigint as differing, true as any_found",
     "p3_error_rate": """
 with records as (
   select distinct entry_id, entry_key, fetched_at::timestamptz as instant from entries

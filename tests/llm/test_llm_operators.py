@@ -384,6 +384,12 @@ def test_leaks_against_brute_force(spark):
     for limit in (leakage.MAX_SEED_WORDS, 30):
         found = leakage.leaks(docs, items, min_match=4, max_seed_words=limit)
         assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == expected
+    assert {tuple(r) for r in leakage.leaks_by_shingles(docs, items, 4).collect()} == expected
+    # A second passage of an item neither hides the first nor doubles a pair.
+    more = items.unionByName(spark.createDataFrame([(0, "w1 w2 w3 w4 w5 zzz", "q"), (9, passages[1][1], "q"), (1, "zzzz " * 20, "q")], items.schema))
+    found = leakage.leaks(docs, more, min_match=4)
+    pairs = [(r["doc_id"], r["item_id"]) for r in found.where("doc_id < 200").collect()]
+    assert {p for p in expected if p[0] < 200} | {(d, 9) for d, i in expected if i == 1 and d < 200} <= set(pairs) and len(pairs) == len(set(pairs))
     assert leakage.leaks(docs.limit(0), items, 4).count() == 0 and leakage.leaks(docs, items.limit(0), 4).count() == 0
 
 
