@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from quillspark import session
 
-BUCKETS = 64
+#: Records per bucket of a ledger, from which the number of buckets follows.
+BUCKET_ROWS = 500_000
+#: Appends (each adds a file per bucket) after which a ledger is written anew.
+COMPACT_EVERY = 8
 #: Batches of about equal size that a table of entries is fed to the ledger in.
 BATCHES = 4
 
@@ -34,20 +37,30 @@ def usable(key: Column) -> Column:
     return key.isNotNull() & ~key.rlike(r"^[\s\p{Z}]*$")
 
 
+def buckets_for(spark: SparkSession, rows: int) -> int:
+    """As many buckets as there are cores, more for more rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
+
+
 class KeyLedger:
     """Keys seen so far: one table on disk, hash-bucketed by key, only appended to.
 
-    ``buckets`` fixes the layout; 64 suits test data, and a run over billions
-    of keys should use some thousands (one bucket must fit a task's sort).
-    History is never shuffled: a batch is brought to the bucketing of the table.
+    ``buckets`` fixes the layout (see ``buckets_for``: one bucket must fit a
+    task's sort).  History is never shuffled: a batch is brought to the
+    bucketing of the table.  After ``COMPACT_EVERY`` appends the table is
+    written anew, so that a bucket stays a few files.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int = BUCKETS) -> None:
+    def __init__(self, spark: SparkSession, buckets: int) -> None:
         self.spark = spark
         self.buckets = buckets
-        self.name = f"key_ledger_{uuid.uuid4().hex[:12]}"
-        self.path = session.new_path(spark, self.name)
+        self.appends = 0
         self.written = False
+        self._place()
+
+    def _place(self) -> None:
+        self.name = f"key_ledger_{uuid.uuid4().hex[:12]}"
+        self.path = session.new_path(self.spark, self.name)
 
     def table(self) -> DataFrame:
         """One row per key: ``key, at, id`` of its earliest record.
@@ -66,6 +79,8 @@ class KeyLedger:
 
     def append(self, firsts: DataFrame) -> None:
         """Add ``key, at, id`` rows, at most one per key (see ``first_per_key``)."""
+        if self.appends >= COMPACT_EVERY:
+            self.compact()
         (
             firsts.select("key", "at", "id")
             .repartition(self.buckets, "key")
@@ -77,11 +92,24 @@ class KeyLedger:
             .saveAsTable(self.name)
         )
         self.written = True
+        self.appends += 1
+
+    def compact(self) -> None:
+        """Write the ledger anew, a file per bucket and a row per key."""
+        whole, old = self.table(), (self.name, self.path)
+        self._place()
+        self.appends = 0
+        self.append(whole)
+        self._drop(*old)
 
     def close(self) -> None:
         """Drop the table from the catalog, and its files."""
-        self.spark.sql(f"drop table if exists {self.name}")
-        session.remove(self.spark, self.path)
+        self._drop(self.name, self.path)
+        self.written = False
+
+    def _drop(self, name: str, path: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        session.remove(self.spark, path)
 
     def news(self, records: DataFrame) -> DataFrame:
         """``key, at, id`` of the batch's records that are the first of their key."""
@@ -130,31 +158,22 @@ def first_per_key(records: DataFrame) -> DataFrame:
     )
 
 
-def seen_entries(entries: DataFrame, warm_keys: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``entry_id`` of every entry whose key occurs earlier.
-
-    The history (``warm_keys``) is the ledger, the entries are one batch; the
-    order is that of ``fetched_at`` as an instant, ties by ``entry_id``.  All of
-    the history precedes the batch, so its keys are stored without a time.
-    """
-    ledger = KeyLedger(entries.sparkSession, buckets)
-    ledger.append(history(warm_keys))
-    return ledger.seen(as_records(entries)).select(F.col("id").alias("entry_id"))
-
-
 def seen_in_order(
-    entries: DataFrame, warm_keys: DataFrame, batches: int = BATCHES, buckets: int = BUCKETS
+    entries: DataFrame, warm_keys: DataFrame, batches: int = BATCHES, buckets: int | None = None
 ) -> DataFrame:
-    """``seen_entries``, batch after batch in order of ``fetched_at``.
-
-    Each batch is answered from the ledger and its new keys are appended before
-    the next one comes, so earlier entries are never grouped again.  Equal
-    instants share a batch; entries without a readable time are in the last.
-    Rows with the same ``entry_id`` have to be the same row.
+    """``entry_id`` of every entry whose key occurs earlier, batch after batch in
+    order of ``fetched_at`` (as an instant, ties by ``entry_id``).
+
+    The history (``warm_keys``) precedes all entries, so its keys are stored
+    without a time.  Each batch is answered from the ledger and its new keys are
+    appended before the next one comes, so earlier entries are never grouped
+    again.  Equal instants share a batch; entries without a readable time are in
+    the last.  Rows with the same ``entry_id`` have to be the same row.
     """
-    ledger = KeyLedger(entries.sparkSession, buckets)
-    ledger.append(history(warm_keys))
+    spark = entries.sparkSession
     records = session.scratch(as_records(entries), "seen-records")
+    ledger = KeyLedger(spark, buckets or buckets_for(spark, records.count()))
+    ledger.append(history(warm_keys))
     at = F.unix_micros("at")
     shares = [i / batches for i in range(1, batches)]
     cuts = records.agg(F.percentile_approx(at, shares)).first()[0] if shares else None

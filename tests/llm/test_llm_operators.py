@@ -137,7 +137,7 @@ def test_seen_against_brute_force(spark):
     warm = ["k3", "k4", None, " "]
     df = spark.createDataFrame(data, ENTRY)
     warm_df = spark.createDataFrame([(k, "2025-01-01T00:00:00Z") for k in warm], "entry_key string, fetched_at string")
-    found = seen.seen_entries(df, warm_df, buckets=4)
+    found = seen.seen_in_order(df, warm_df, 1, 4)
     assert {r["entry_id"] for r in found.collect()} == brute_seen(data, warm) and found.count() == len(brute_seen(data, warm))
     rate = seen.error_rate(
         seen.as_records(df), found.withColumnRenamed("entry_id", "id"), lambda r: seen.seen_by_sort(r, seen.history(warm_df))
@@ -146,7 +146,8 @@ def test_seen_against_brute_force(spark):
     assert seen.error_rate(seen.as_records(df), found.limit(5).withColumnRenamed("entry_id", "id"), lambda r: seen.seen_by_sort(r, seen.history(warm_df))).first()["wrong"] > 0
 
 
-def test_ledger_over_batches_in_order(spark):
+def test_ledger_over_batches_in_order(spark, monkeypatch):
+    monkeypatch.setattr(seen, "COMPACT_EVERY", 2)
     rng = random.Random(5)
     data = sorted(entries(rng, 120, [f"k{i}" for i in range(40)]), key=lambda e: (datetime.datetime.fromisoformat(e[2]), e[0]))
     ledger = seen.KeyLedger(spark, 4)
@@ -154,8 +155,11 @@ def test_ledger_over_batches_in_order(spark):
     for part in (data[:50], data[50:90], data[90:]):
         found |= {r["id"] for r in ledger.process(seen.as_records(spark.createDataFrame(part, ENTRY))).collect()}
     assert found == brute_seen(data, [])
-    assert ledger.table().count() == len({e[1] for e in data})
+    assert ledger.table().count() == len({e[1] for e in data}) and ledger.appends == 2
+    ledger.compact()
+    assert ledger.table().count() == len({e[1] for e in data}) and ledger.appends == 1
     ledger.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("key_ledger")]
 
 
 def test_seen_in_order_feeds_the_ledger(spark, monkeypatch):
@@ -175,7 +179,7 @@ def test_seen_in_order_feeds_the_ledger(spark, monkeypatch):
 
 def test_seen_of_nothing(spark):
     empty, warm = spark.createDataFrame([], ENTRY), spark.createDataFrame([], "entry_key string, fetched_at string")
-    assert seen.seen_entries(empty, warm, 2).count() == 0
+    assert seen.seen_in_order(empty, warm, 1, 2).count() == 0
     none = seen.as_records(empty)
     assert seen.error_rate(none, none.select("id"), lambda r: r.select("id")).first()["wrong_rate"] == 0.0
 
