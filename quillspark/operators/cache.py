@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,19 @@ def get(cache: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     )
 
 
+def without_cached(cache: DataFrame, rows: DataFrame, key: str, filter_: Bloom | None = None) -> DataFrame:
+    """Rows whose key the cache does not hold: what a reader has still to fetch.
+
+    With a filter only rows that may be cached meet the exact anti join.
+    """
+    known = cache.select(key).where(F.col(key).isNotNull())
+    if filter_ is None:
+        return rows.join(known, key, "left_anti")
+    told = rows.withColumn("__maybe", _maybe(filter_)(key))
+    sure = told.where(~F.col("__maybe")).drop("__maybe")
+    return sure.unionByName(told.where("__maybe").drop("__maybe").join(known, key, "left_anti"))
+
+
 def with_expiry(rows: DataFrame, at: Column, seconds: int = 300) -> DataFrame:
     """Rows that live for some seconds from ``at``."""
     return rows.withColumn("expires_at", at + F.make_interval(secs=F.lit(seconds)))
@@ -55,18 +70,20 @@ def bloom(rows: DataFrame, key: str, items: int, rate: float = 0.01) -> Bloom:
         for batch in batches:
             for k in batch["k"]:
                 mine.add(k)
-        yield pd.DataFrame({"part": [0], "bits": [bytes(mine.store)]})
+        yield pd.DataFrame({"bits": [bytes(mine.store)]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = Bloom(items, rate)
+        whole = np.frombuffer(pdf["bits"].iloc[0], np.uint8).copy()
         for bits in pdf["bits"]:
-            other = Bloom(items, rate)
-            other.store = bytearray(bits)
-            whole.merge(other)
-        return pd.DataFrame({"bits": [bytes(whole.store)]})
-
-    parts = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).mapInPandas(build, "part int, bits binary")
-    for r in parts.groupBy("part").applyInPandas(merge, "bits binary").collect():
+            whole |= np.frombuffer(bits, np.uint8)
+        return pd.DataFrame({"bits": [whole.tobytes()]})
+
+    # At most as many filters as tasks; they meet in a tree of branches.
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).coalesce(tasks)
+    branch = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(tasks)))).alias("branch")
+    branches = parts.mapInPandas(build, "bits binary").select("bits", branch).groupBy("branch").applyInPandas(merge, "bits binary")
+    for r in branches.groupBy().applyInPandas(merge, "bits binary").collect():
         empty.store = bytearray(r["bits"])
     return empty
 
@@ -82,8 +99,7 @@ def bloom_indices(rows: DataFrame, key: str, items: int, rate: float = 0.01) ->
     return rows.select(key, run(key).alias("indices"))
 
 
-def maybe_seen(rows: DataFrame, key: str, filter_: Bloom) -> DataFrame:
-    """Rows whose key may be in the filter; exact answers need a join behind it."""
+def _maybe(filter_: Bloom):
     bits, items, hashes = bytes(filter_.store), filter_.bits, filter_.hashes
 
     @F.pandas_udf("boolean")
@@ -92,4 +108,9 @@ def maybe_seen(rows: DataFrame, key: str, filter_: Bloom) -> DataFrame:
         probe.bits, probe.hashes, probe.store = items, hashes, bytearray(bits)
         return keys.map(lambda k: k is not None and k in probe)
 
-    return rows.where(run(key))
+    return run
+
+
+def maybe_seen(rows: DataFrame, key: str, filter_: Bloom) -> DataFrame:
+    """Rows whose key may be in the filter; exact answers need a join behind it."""
+    return rows.where(_maybe(filter_)(key))

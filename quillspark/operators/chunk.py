@@ -17,6 +17,9 @@ SCHEMA = (
     " start bigint, end bigint"
 )
 
+#: Characters of chunks that are sent on at a time.
+AT_ONCE = 4_000_000
+
 
 def chunk(
     documents: DataFrame,
@@ -38,21 +41,17 @@ def chunk(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, held = [], 0
             for k, name, body in batch.itertuples(index=False, name=None):
-                found = chunker.chunks(body, name, size, overlap, mode)
-                yield pd.DataFrame(
-                    {
-                        "__key": k,
-                        "id": [c.id for c in found],
-                        "ordinal": [c.ordinal for c in found],
-                        "text": [c.text for c in found],
-                        "token_count": [c.token_count for c in found],
-                        "heading_path": [c.heading_path for c in found],
-                        "start": [c.start for c in found],
-                        "end": [c.end for c in found],
-                    }
-                )
+                for c in chunker.chunks(body, name, size, overlap, mode):
+                    rows.append((k, c.id, c.ordinal, c.text, c.token_count, c.heading_path, c.start, c.end))
+                    held += len(c.text)
+                if held > AT_ONCE:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
+    names = ["__key", *(c.split()[0] for c in SCHEMA.split(", "))]
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.where(F.col(key).isNotNull()).select(
         F.col(key).alias("__key"), F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))

@@ -8,7 +8,7 @@ shuffled is ``n`` rows per query and partition, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,40 @@ def records(table: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
+def embedded(
+    rows: DataFrame, text: str, embedder: Callable[[list[str]], list] | None, batch: int = 128
+) -> DataFrame:
+    """``rows`` with ``embedding array<double>`` and ``dense_covered``.
+
+    ``embedder(texts)`` returns a vector or null per text and runs on the
+    executors, ``batch`` texts at a time.  Without one, and where it fails or
+    answers with nothing, an empty vector or something that is no list, the
+    embedding is null and the row is not covered; the job never fails.
+    """
+    if embedder is None:
+        return rows.withColumn("embedding", F.lit(None).cast("array<double>")).withColumn("dense_covered", F.lit(False))
+
+    def vectors(texts: list[str]) -> list:
+        try:
+            found = list(embedder(texts))
+        except Exception:  # noqa: BLE001 - fails open
+            found = []
+        found += [None] * (len(texts) - len(found))
+        return [[float(x) for x in v] if isinstance(v, (list, tuple)) and len(v) else None for v in found[: len(texts)]]
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        given = [t or "" for t in texts]
+        return pd.Series([v for i in range(0, len(given), batch) for v in vectors(given[i : i + batch])], dtype=object)
+
+    return rows.withColumn("embedding", run(text)).withColumn("dense_covered", F.col("embedding").isNotNull())
+
+
+def covered(rows: DataFrame) -> DataFrame:
+    """``chunks, embedded``: how many rows there are and how many got a vector."""
+    return rows.agg(F.count("*").alias("chunks"), F.count_if("dense_covered").alias("embedded"))
+
+
 def upsert(index: DataFrame, fresh: DataFrame) -> DataFrame:
     """Records with those of the same key replaced."""
     return index.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(

@@ -62,3 +62,22 @@ def breakdown(caught: DataFrame) -> DataFrame:
     return stages.join(counts, "caught_at", "left").select(
         "caught_at", F.coalesce("n", F.lit(0)).alias("questions")
     )
+
+
+def unanswered(caught: DataFrame) -> DataFrame:
+    """Questions that no tier answered, for diagnosis."""
+    return caught.where(F.col("caught_at").isin("missed", "unknown"))
+
+
+def report(results: DataFrame, target: float, tier: str) -> DataFrame:
+    """``line, passed``: one tier's result as a sentence; the caller's exit status is
+    ``passed``."""
+    percent = lambda c: F.format_string("%.1f%%", 100 * c)
+    return summary(results, target).select(
+        F.concat(
+            F.lit(f"{tier}: "), F.col("matched").cast("string"), F.lit("/"), F.col("attempted").cast("string"),
+            F.lit(" matched, failure rate "), percent(F.col("failure_rate")), F.lit(", target "),
+            percent(F.lit(target)), F.when(F.col("passed"), " (passed)").otherwise(" (failed)"),
+        ).alias("line"),
+        "passed",
+    )

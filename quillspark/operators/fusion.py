@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspark import session
 from quillspark.functions import text as T
+from quillspark.kernels import chunker
+from quillspark.operators import chunk, dense, lexical
 
 K = 60
 PER_INDEX = 150
@@ -69,9 +71,13 @@ def retrieve(
 
 
 def with_text(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Candidates joined with ``chunk_id, text``; those without a text drop out."""
-    texts = chunks.groupBy("chunk_id").agg(F.max("text").alias("text")).where("text is not null")
-    return candidates.join(texts, "chunk_id")
+    """Candidates joined with ``chunk_id, text``; those without a text drop out.
+
+    Only texts of candidates move; of a chunk's several texts the greatest counts.
+    """
+    ids = session.broadcast_small(candidates.select("chunk_id").distinct(), 100_000)
+    texts = chunks.where("text is not null").select("chunk_id", "text").join(ids, "chunk_id", "left_semi")
+    return candidates.join(texts.groupBy("chunk_id").agg(F.max("text").alias("text")), "chunk_id")
 
 
 def by_input_order(candidates: DataFrame, n: int) -> DataFrame:
@@ -147,6 +153,44 @@ def rerank(
     return by_provider(ready, given, n).unionByName(by_input_order(rest, n))
 
 
+class HttpError(Exception):
+    """Raised by a provider whose endpoint answered with a failure."""
+
+    def __init__(self, status: int) -> None:
+        super().__init__(f"status {status}")
+        self.status = status
+
+
+# The published prompt, as a block around a document and one around a chunk of it.
+PROMPT_DOCUMENT = (
+    "<document>\n{document}\n</document>\n\n"
+    "Here is the chunk we want to situate within the whole document\n<chunk>\n"
+)
+PROMPT_CHUNK = (
+    "{chunk}\n</chunk>\n\n"
+    "Please give a short succinct context to situate this chunk within the overall document for the purposes of "
+    "improving search retrieval of the chunk. Answer only with the succinct context and nothing else."
+)
+
+
+def context_request(document, chunk, model: str, max_tokens: int = 200):
+    """The request for a chunk's preamble as a struct column.
+
+    The document is a block of its own that a provider may cache, so all chunks
+    of a document share it word for word.
+    """
+    before, after = PROMPT_DOCUMENT.split("{document}")
+    ahead, behind = PROMPT_CHUNK.split("{chunk}")
+    block = lambda text, kept: F.struct(
+        F.lit("text").alias("type"), text.alias("text"), F.lit(kept).alias("cached")
+    )
+    content = F.array(
+        block(F.concat(F.lit(before), F.coalesce(document, F.lit("")), F.lit(after)), True),
+        block(F.concat(F.lit(ahead), F.coalesce(chunk, F.lit("")), F.lit(behind)), False),
+    )
+    return F.struct(F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"), content.alias("content"))
+
+
 def contextualize(
     chunks: DataFrame,
     documents: DataFrame,
@@ -157,7 +201,8 @@ def contextualize(
     ``provider(document, chunk)`` writes the preamble; chunks are grouped by
     document and ordered, so that a provider's prompt cache holds.  Without one
     the status is ``failed`` for ``missing_api_key``; an empty answer is
-    ``empty_response``, an exception ``throw_`` and its message.
+    ``empty_response``, an ``HttpError`` is ``http_`` and its status, any other
+    exception ``throw_`` and its message.
     """
     if provider is None:
         return chunks.select(
@@ -166,7 +211,12 @@ def contextualize(
             F.lit("failed").alias("context_status"),
             F.lit("missing_api_key").alias("context_failure_reason"),
         )
-    texts = documents.groupBy("doc_id").agg(F.max("text").alias("__document"))
+    # A document's row is taken once; only documents that have chunks move.
+    ids = session.broadcast_small(chunks.select("doc_id").distinct(), 100_000)
+    texts = (
+        documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+        .groupBy("doc_id").agg(F.max("text").alias("__document"))
+    )
     ready = (
         chunks.join(texts, "doc_id", "left").repartition("doc_id").sortWithinPartitions("doc_id", "ordinal")
     )
@@ -180,6 +230,8 @@ def contextualize(
                 try:
                     preamble = (provider(document or "", text or "") or "").strip()
                     said.append((preamble, "ok", None) if preamble else (None, "failed", "empty_response"))
+                except HttpError as error:
+                    said.append((None, "failed", f"http_{error.status}"))
                 except Exception as error:  # noqa: BLE001
                     said.append((None, "failed", f"throw_{error}" if str(error) else "throw_unknown"))
             batch[["context_preamble", "context_status", "context_failure_reason"]] = pd.DataFrame(
@@ -193,3 +245,44 @@ def contextualize(
 def contextual_text(preamble, text):
     """What the contextual index holds: the preamble above the text, if there is one."""
     return F.when(preamble.isNull() | (preamble == ""), text).otherwise(F.concat(preamble, F.lit("\n\n"), text))
+
+
+def index_documents(
+    documents: DataFrame,
+    context: Callable[[str, str], str | None] | None = None,
+    embedder: Callable[[list[str]], list] | None = None,
+    size: int = chunker.CHUNK_SIZE,
+    overlap: int = chunker.OVERLAP,
+) -> tuple[DataFrame, lexical.Index, DataFrame]:
+    """``(chunks, lexical index, dense records)`` of ``doc_id, text``: documents are
+    chunked, contextualised, embedded and indexed.
+
+    Chunks have ``chunk_id, text, context_preamble, context_status`` and
+    ``dense_covered``: whether the embedder gave them a vector.
+    """
+    parts = chunk.chunk(documents.select("doc_id", "text"), size=size, overlap=overlap).withColumnRenamed("id", "chunk_id")
+    said = contextualize(parts, documents, context)
+    said = said.withColumn("indexed_text", contextual_text(F.col("context_preamble"), F.col("text")))
+    said = session.scratch(dense.embedded(said, "indexed_text", embedder), "indexed-chunks")
+    vectors = said.where("dense_covered").select("chunk_id", "embedding")
+    return said.drop("embedding"), lexical.build(said, "chunk_id", "indexed_text"), vectors
+
+
+def ask(
+    queries: DataFrame,
+    chunks: DataFrame,
+    index: lexical.Index,
+    vectors: DataFrame,
+    embedder: Callable[[list[str]], list] | None = None,
+    provider: Callable[[str, list[str]], list[tuple[int, float]] | None] | None = None,
+    top_k: int = FINAL,
+    fan_out: int = PER_INDEX,
+) -> DataFrame:
+    """The whole retrieval for ``query_id, query``: both indexes, fused, reranked.
+
+    Queries that the embedder has no vector for are answered lexically alone.
+    """
+    asked = dense.embedded(queries, "query", embedder).where("dense_covered")
+    near = dense.search(vectors, asked.select("query_id", "embedding"), fan_out)
+    fused = fuse(near, lexical.search(index, queries, fan_out), n=fan_out)
+    return rerank(fused, chunks, provider, queries, top_k)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark import session
 from quillspark.functions import text as T
 
 K1 = 1.2
@@ -48,19 +49,32 @@ class Index:
         return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
 
 
-def tokenized(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``chunk_id, terms``; a null text has no terms, null keys are void, and of
-    rows with one key the one with the greatest text counts."""
-    return (
-        documents.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("chunk_id")).agg(F.max(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-        .select("chunk_id", T.tokens(F.col("t")).alias("terms"))
+def distinct_keys(documents: DataFrame, key: str) -> bool:
+    """Whether no key comes twice, by the key column alone."""
+    return not documents.groupBy(key).count().where("count > 1").limit(1).count()
+
+
+def one_per_key(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``chunk_id, text`` with one row per key; null keys are void.
+
+    Of rows with one key the one with the greatest hash of its text counts.
+    Only if keys repeat is anything joined, and then keys, hashes and row
+    numbers, never texts.
+    """
+    rows = documents.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
+    if distinct_keys(rows, "chunk_id"):
+        return rows
+    # Written (narrow), so that both sides of the join see the same row numbers.
+    rows = session.scratch(rows.withColumn("__row", F.monotonically_increasing_id()), "index-rows")
+    kept = rows.groupBy("chunk_id").agg(F.max(F.struct(F.xxhash64("text"), "__row")).alias("r"))
+    return rows.join(kept.select(F.col("r.__row").alias("__row")), "__row", "left_semi").drop("__row")
 
 
 def build(documents: DataFrame, key: str = "chunk_id", text: str = "text") -> Index:
-    """The index of a table of texts."""
-    terms = tokenized(documents, key, text)
+    """The index of a table of texts; a null text has no terms."""
+    terms = one_per_key(documents, key, text).select("chunk_id", T.tokens(F.col("text")).alias("terms"))
     docs = terms.select("chunk_id", F.size("terms").cast("bigint").alias("length"))
     postings = (
         terms.select("chunk_id", F.explode("terms").alias("term"))
@@ -69,6 +83,11 @@ def build(documents: DataFrame, key: str = "chunk_id", text: str = "text") -> In
     return Index(docs, postings)
 
 
+def stored(index: Index) -> Index:
+    """The index written once to the shared folder, for plans that read it several times."""
+    return Index(session.scratch(index.docs, "index-docs"), session.scratch(index.postings, "index-postings"))
+
+
 def remove(index: Index, ids: DataFrame) -> Index:
     """The index without the chunks in ``ids(chunk_id)``."""
     return Index(
@@ -143,3 +162,13 @@ def top(scored: DataFrame, n: int = TOP, digits: int | None = None) -> DataFrame
 def search(index: Index, queries: DataFrame, n: int = TOP, digits: int | None = 6) -> DataFrame:
     """BM25 for all queries at once."""
     return top(scores(index, queries), n, digits)
+
+
+def lookup(index: Index, chunk_id, term: str | None = None) -> DataFrame:
+    """A point lookup: a chunk's postings, or its frequency of one term.
+
+    Both conditions reach the scan of a written index (postings are sorted by
+    term, so row groups are skipped).
+    """
+    rows = index.postings.where(F.col("chunk_id") == F.lit(chunk_id))
+    return rows if term is None else rows.where(F.col("term") == term)

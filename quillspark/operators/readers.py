@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.kernels import frontmatter, html, jslit, jsstr, xml
+from quillspark.kernels import frontmatter, html, jslit, xml
 
 SUSPICIOUS = 0.3
 MALICIOUS = 0.8
+# The reason of a blocked page, and the warning on a suspicious one.
+INJECTION = "prompt_injection"
+SUSPICION = "prompt_injection_suspicious"
 
 Scanner = Callable[[str], float | None]
 
@@ -32,11 +35,13 @@ def scan(
     suspicious: float = SUSPICIOUS,
     malicious: float = MALICIOUS,
 ) -> DataFrame:
-    """``pages`` with ``sha, parry_score, parry_label, parry_via``.
+    """``pages`` with ``sha, parry_score, parry_label, parry_via, parry_kept``.
 
-    Verdicts known to ``cache(sha, suspicious, malicious, score)`` are taken
+    Verdicts known to ``cache(sha, suspicious, malicious, score, via)`` are taken
     from it; the scanner is called once per distinct text that is left.  A
-    scanner that fails or knows nothing gives score 0 by the stub.
+    scanner that fails or knows nothing gives score 0 by the stub, and that
+    verdict is one to keep as well (``parry_kept``), lest a broken scanner be
+    asked again and again; texts that nothing was asked about have none to keep.
     """
     hashed = pages.withColumn("sha", F.sha2(F.col(text), 256))
     if scanner is None and cache is None:
@@ -44,14 +49,16 @@ def scan(
             hashed.withColumn("parry_score", F.lit(0.0))
             .withColumn("parry_label", F.lit("SAFE"))
             .withColumn("parry_via", F.lit("stub"))
+            .withColumn("parry_kept", F.lit(False))
         )
     distinct = hashed.groupBy("sha").agg(F.first(text).alias("t"))
     verdicts = None
     if cache is not None:
+        via = F.coalesce("via", F.lit("api")) if "via" in cache.columns else F.lit("api")
         known = (
             cache.where((F.col("suspicious") == suspicious) & (F.col("malicious") == malicious))
-            .groupBy("sha").agg(F.max("score").alias("score"))
-            .withColumn("via", F.lit("api"))
+            .groupBy("sha").agg(F.max(F.struct("score", via.alias("via"))).alias("v"))
+            .select("sha", "v.score", "v.via")
         )
         distinct = distinct.join(known.select("sha"), "sha", "left_anti")
         verdicts = known
@@ -82,15 +89,17 @@ def scan(
         joined.withColumn("parry_score", score)
         .withColumn("parry_label", T.classify(score, suspicious, malicious))
         .withColumn("parry_via", F.coalesce("via", F.lit("stub")))
+        .withColumn("parry_kept", F.col("via").isNotNull())
         .drop("score", "via")
     )
 
 
 def verdict_rows(scanned: DataFrame, suspicious: float = SUSPICIOUS, malicious: float = MALICIOUS) -> DataFrame:
-    """What a scan adds to the cache: stub verdicts for want of a scanner are not kept."""
-    return scanned.where("parry_via = 'api'").select(
+    """What a scan adds to the cache: every verdict that was asked for, failed
+    ones too."""
+    return scanned.where("parry_kept").select(
         "sha", F.lit(suspicious).alias("suspicious"), F.lit(malicious).alias("malicious"),
-        F.col("parry_score").alias("score"),
+        F.col("parry_score").alias("score"), F.col("parry_via").alias("via"),
     ).distinct()
 
 
@@ -103,17 +112,28 @@ def tagged(scanned: DataFrame, failure, data: list) -> DataFrame:
         "url",
         *hidden,
         blocked.alias("blocked"),
-        F.when(failure.isNotNull(), failure).when(malicious, "injection_detected").alias("reason"),
+        F.when(failure.isNotNull(), failure).when(malicious, INJECTION).alias("reason"),
         F.when(~blocked, F.col("source_sha256")).alias("source_sha256"),
         F.when(failure.isNull(), F.col("parry_score")).alias("parry_score"),
-        F.when(~blocked & (F.col("parry_label") == "SUSPICIOUS"), F.array(F.lit("SUSPICIOUS")))
+        F.when(failure.isNull(), F.col("parry_label")).alias("parry_label"),
+        F.when(failure.isNull(), F.col("parry_via")).alias("parry_via"),
+        F.when(~blocked & (F.col("parry_label") == "SUSPICIOUS"), F.array(F.lit(SUSPICION)))
         .otherwise(F.array().cast("array<string>")).alias("warnings"),
     )
 
 
 def limited(text, limit: int | None):
-    """The first ``limit`` characters; null and 0 mean no limit."""
-    return F.substring(text, 1, limit) if limit else text
+    """The first ``limit`` UTF-16 units; null and 0 mean no limit.
+
+    A pair of units that the limit cuts apart becomes one replacement character.
+    """
+    if not limit:
+        return text
+    units = F.encode(text, "UTF-16BE")
+    apart = F.hex(F.substring(units, 2 * limit - 1, 1)).rlike("^D[89AB]")
+    head = F.decode(F.substring(units, 1, 2 * limit), "UTF-16BE")
+    cut = F.concat(F.decode(F.substring(units, 1, 2 * limit - 2), "UTF-16BE"), F.lit("\ufffd"))
+    return F.when(T.utf16_length(text) <= limit, text).when(apart, cut).otherwise(head)
 
 
 def _map_text(function, kind):
@@ -158,6 +178,38 @@ def html_to_markdown(content, limit: int | None = None):
     return run(content)
 
 
+# What each reader accepts.
+ACCEPTS = {
+    "markdown": "text/markdown, text/plain, */*",
+    "html": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8",
+    "xml": "application/xml, text/xml, application/atom+xml, application/rss+xml, */*",
+    "js": "text/javascript, text/plain, text/markdown, */*",
+}
+
+
+def fetched(urls: DataFrame, fetcher: Callable[[str, dict[str, str]], tuple[int, str]], form: str) -> DataFrame:
+    """``url, content, error`` of pages asked for with the reader's ``Accept`` header.
+
+    ``fetcher(url, headers)`` returns status and body and runs on the executors;
+    a status outside 200 to 299 is ``http_NNN``, an exception ``throw_`` and its
+    message, and the content is null then (a failed fetch to every reader).
+    """
+    headers = {"Accept": ACCEPTS[form]}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for url in batch["url"]:
+                try:
+                    status, body = fetcher(url, headers)
+                    out.append((url, body, None) if 200 <= status < 300 else (url, None, f"http_{status}"))
+                except Exception as error:  # noqa: BLE001 - fails open
+                    out.append((url, None, f"throw_{error}" if str(error) else "throw_unknown"))
+            yield pd.DataFrame(out, columns=["url", "content", "error"])
+
+    return urls.select("url").mapInPandas(run, "url string, content string, error string")
+
+
 def dispatch(pages: DataFrame, adapter: Callable[[str], str] | None = None) -> DataFrame:
     """``url, content, via``: pages that hold too little text go to the adapter.
 
@@ -214,16 +266,17 @@ def xml_nodes(pages: DataFrame, selector: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for url, content in zip(batch["url"], batch["content"]):
                 try:
                     table = xml.nodes(content or "")
                 except ValueError:
                     continue
                 found = table if selector is None else xml.select(table, selector)
-                yield pd.DataFrame(
-                    [(url, n.node, n.parent, n.depth, n.ord, n.path, n.name, n.attrs, n.text) for n in found],
-                    columns=["url", "node_id", "parent_id", "depth", "ord", "path", "name", "attrs", "text"],
-                )
+                rows += [(url, n.node, n.parent, n.depth, n.ord, n.path, n.name, n.attrs, n.text) for n in found]
+            yield pd.DataFrame(
+                rows, columns=["url", "node_id", "parent_id", "depth", "ord", "path", "name", "attrs", "text"]
+            )
 
     return pages.select("url", "content").mapInPandas(run, f"url string, {NODE}")
 
@@ -286,8 +339,3 @@ def read_js(pages: DataFrame, export: str, limit: int | None = None, validate=No
         F.col("position"),
         F.when(ok, F.sha2("c", 256)).alias("source_sha256"),
     )
-
-
-def utf16_head(text, limit: int):
-    """The first ``limit`` UTF-16 units, for texts with characters beyond the basic plane."""
-    return _map_text(lambda t: jsstr.head(t, limit), "string")(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark import session
 from quillspark.functions import text as T
 
 # The plugins of the registry.
@@ -22,12 +23,13 @@ NODE = (
 )
 
 
-def flatten(nodes: DataFrame, repo: str = "repo", fallback: str = "fallback") -> DataFrame:
+def flatten(nodes: DataFrame, repo: str = "repo", fallback: str = "fallback", keep: tuple[str, ...] = ()) -> DataFrame:
     """Issue rows from nested nodes: first project item, first assignee.
 
     ``nodes`` has the columns of ``NODE`` besides the repository and the plugin
     that counts where no ``area/`` label names one.  Unknown priorities, waves
-    and efforts take their defaults; the labels stay as an array.
+    and efforts take their defaults; the labels stay as an array, and so do the
+    columns to ``keep``.
     """
     item = F.get(F.col("projectItems.nodes"), F.lit(0))
     labels = F.coalesce(F.transform("labels.nodes", lambda x: x["name"]), F.array().cast("array<string>"))
@@ -39,7 +41,7 @@ def flatten(nodes: DataFrame, repo: str = "repo", fallback: str = "fallback") ->
         T.one_of(item["wave"]["name"], T.WAVES, "Wave 1").alias("wave"),
         T.one_of(item["effort"]["name"], T.EFFORTS, "M").alias("effort"),
         F.get(F.col("assignees.nodes"), F.lit(0))["login"].alias("assignee"),
-        "url", labels.alias("labels"),
+        "url", labels.alias("labels"), *keep,
     )
 
 
@@ -108,6 +110,14 @@ def board_order(issues: DataFrame) -> list:
     return [place("status", T.STATUSES), place("priority", T.PRIORITIES), place("effort", T.EFFORTS), F.col("repo"), F.col("number")]
 
 
+def roadmap(issues: DataFrame) -> DataFrame:
+    """``wave, issues, open`` in order of the waves, zero-filled."""
+    total = zero_filled(issues, "wave", T.WAVES, "issues")
+    left = zero_filled(issues.where("status <> 'Done'"), "wave", T.WAVES, "open")
+    place = F.array_position(F.array(*[F.lit(w) for w in T.WAVES]), F.col("wave"))
+    return total.join(left, "wave", "left").select("wave", "issues", F.coalesce("open", F.lit(0)).alias("open")).orderBy(place)
+
+
 def live_or_snapshot(snapshot: DataFrame | None, live: DataFrame | None) -> DataFrame | None:
     """The live rows if there are any, else the snapshot, with ``source``."""
     if live is not None and live.limit(1).count():
@@ -127,8 +137,35 @@ def snapshot_document(issues: DataFrame, generated_at: str) -> DataFrame:
 
 
 def project_map(spark: SparkSession, rows: list[tuple[str, str, str, str | None]]) -> DataFrame:
-    """``slug, repo, plugin, label``: which repositories a slug is read from."""
-    return spark.createDataFrame(rows, "slug string, repo string, plugin string, label string")
+    """``slug, repo, plugin, label, place``: which repository a slug is read from,
+    its fallback plugin, its label (null: all issues), and its place in the list."""
+    return spark.createDataFrame(
+        [(*r, i) for i, r in enumerate(rows)], "slug string, repo string, plugin string, label string, place int"
+    )
+
+
+def of_slugs(nodes: DataFrame, projects: DataFrame) -> DataFrame:
+    """Issues of all known slugs in one table: ``slug, place, position`` and the
+    columns of ``flatten``.
+
+    ``nodes`` has ``slug, position`` besides the columns of ``NODE``; nodes of an
+    unknown slug drop out, and so do those without the slug's label.
+    """
+    known = nodes.join(session.broadcast_small(projects), "slug")
+    rows = known.select("slug", "place", "position", "label", *[c for c in nodes.columns if c not in ("slug", "position")], "repo", "plugin")
+    flat = flatten(rows.withColumnRenamed("plugin", "fallback"), keep=("slug", "place", "position", "label"))
+    return flat.where(F.col("label").isNull() | F.array_contains("labels", F.col("label"))).drop("label")
+
+
+def merged(issues: DataFrame) -> DataFrame:
+    """One row per repository and number: the copy of the slug that is listed first,
+    in it the one that arrived first."""
+    return first_wins(issues, ["repo", "number"], ["place", "position"])
+
+
+def decision(adrs: DataFrame, number: str) -> DataFrame:
+    """The first decision of a number, by position; no row if there is none."""
+    return adrs.where(F.col("number") == number).orderBy("position").limit(1)
 
 
 def sorted_decisions(adrs: DataFrame) -> DataFrame:
@@ -155,17 +192,53 @@ def changelog_entries(documents: DataFrame, key: str = "doc_id", text: str = "te
     )
 
 
-def consecutive_failures(runs: DataFrame, key: str, order: str, failed: str, n: int = 3) -> DataFrame:
-    """Rows at which a run of failures reaches ``n`` (gaps and islands)."""
-    w = Window.partitionBy(key).orderBy(order)
-    island = F.sum((~F.col(failed)).cast("int")).over(w)
-    inside = Window.partitionBy(key, "island").orderBy(order)
-    return (
-        runs.withColumn("island", island)
-        .withColumn("run", F.sum(F.col(failed).cast("int")).over(inside))
-        .where((F.col("run") == n) & F.col(failed))
-        .drop("island", "run")
+def consecutive_failures(runs: DataFrame, key: str, order: str, failed: str, n: int = 3, span: int = 100_000) -> DataFrame:
+    """Rows at which a run of failures reaches ``n`` (gaps and islands).
+
+    A failure counts up from the latest success before it.  A key of more than
+    ``span`` rows is cut into stretches that hold so many each, so no task sorts
+    a hot key alone: a stretch knows from the ends of those before it how many
+    failures are already running.
+    """
+    counted = runs.groupBy(key).agg(F.count("*").alias("__n"))
+    hot = counted.where(F.col("__n") > span)
+    if not hot.limit(1).count():
+        return _third(runs.withColumn("__part", F.lit(0)), key, order, failed, n, None)
+    # Cut points per hot key from quantiles of the order; keys below stay whole.
+    at = F.xxhash64(key)  # spreads keys over the range partitions
+    placed = runs.repartitionByRange(at, F.col(key), F.col(order)).sortWithinPartitions(at, F.col(key), F.col(order))
+    placed = session.scratch(placed.withColumn("__part", F.spark_partition_id()), "failure-runs")
+    last_good = F.max(F.when(~F.col(failed), F.col(order)))
+    ends = placed.groupBy(key, "__part").agg(
+        F.count("*").alias("rows"), last_good.alias("good"), F.count_if(failed).alias("bad"),
+    )
+    # Failures behind the last success of a stretch, or all of it.
+    tails = (
+        placed.join(ends.select(key, "__part", "good"), [key, "__part"])
+        .groupBy(key, "__part")
+        .agg(F.count_if(F.col(failed) & (F.col("good").isNull() | (F.col(order) > F.col("good")))).alias("tail"), F.max("good").isNotNull().alias("broken"))
+    )
+    before = Window.partitionBy(key).orderBy("__part")
+    # A row per key and stretch: running sums since the last broken stretch.
+    island = F.sum(F.col("broken").cast("int")).over(before)
+    ran = tails.withColumn("island", island).withColumn(
+        "held", F.sum("tail").over(Window.partitionBy(key, "island").orderBy("__part"))
+    )
+    carried = ran.select(key, "__part", F.coalesce(F.lag("held").over(before), F.lit(0)).alias("__carried"))
+    return _third(placed, key, order, failed, n, carried)
+
+
+def _third(runs: DataFrame, key: str, order: str, failed: str, n: int, carried: DataFrame | None) -> DataFrame:
+    w = Window.partitionBy(key, "__part").orderBy(order)
+    inside = Window.partitionBy(key, "__part", "__island").orderBy(order)
+    rows = runs.withColumn("__island", F.sum((~F.col(failed)).cast("int")).over(w)).withColumn(
+        "__run", F.sum(F.col(failed).cast("int")).over(inside)
     )
+    if carried is not None:
+        rows = rows.join(carried, [key, "__part"]).withColumn(
+            "__run", F.col("__run") + F.when(F.col("__island") == 0, F.col("__carried")).otherwise(0)
+        ).drop("__carried")
+    return rows.where((F.col("__run") == n) & F.col(failed)).drop("__island", "__run", "__part")
 
 
 def newest(snapshots: DataFrame, key: str, order: str, n: int = 30) -> DataFrame:

@@ -20,7 +20,7 @@ from quillspark.operators import (
     snapshot_diff,
     tracker,
 )
-from quillspark.session import load, scratch
+from quillspark.session import broadcast_small, load, new_path, scratch
 from quillspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,10 +82,15 @@ lexical_ranked as (
 )"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+def _built(spark: SparkSession, sf_dir: str) -> lexical.Index:
     return lexical.build(load(spark, sf_dir, "documents"), "doc_id")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """Written once, since a search reads its tables several times."""
+    return lexical.stored(_built(spark, sf_dir))
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = load(spark, sf_dir, "eval_items")
     return items.select(F.col("item_id").alias("query_id"), F.col("question").alias("query"))
@@ -94,19 +99,19 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_index_sql()} select chunk_id, term, tf from postings")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document holds each term."""
-    return _index(spark, sf_dir).postings
+    return _built(spark, sf_dir).postings
 
 
 @query(f"with {_index_sql()} select chunk_id, length from docs")
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
-    return _index(spark, sf_dir).docs
+    return _built(spark, sf_dir).docs
 
 
 @query(f"with {_index_sql()} select n as doc_count, total as sum_lengths, round(average, 6) as avg_length from stats")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus statistics of the index."""
-    return _index(spark, sf_dir).stats().withColumn("avg_length", F.round("avg_length", 6))
+    return _built(spark, sf_dir).stats().withColumn("avg_length", F.round("avg_length", 6))
 
 
 @query(f"with {_index_sql()} select term, df, round(idf, 9) as idf from rarity")
@@ -161,6 +166,23 @@ def contextual_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(index, _questions(spark, sf_dir))
 
 
+@query(f"with {_index_sql()}, one as (select max(chunk_id) as chunk_id from docs) select chunk_id, term, tf from postings join one using (chunk_id)")
+def posting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point lookup of one document's postings in the index."""
+    index = _index(spark, sf_dir)
+    return lexical.lookup(index, index.docs.agg(F.max("chunk_id")).first()[0])
+
+
+@query(f"with {_index_sql()} select n as doc_count, total as sum_lengths, (select count(*) from postings) as postings from stats")
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index written, read and counted."""
+    path = new_path(spark, "index")
+    _built(spark, sf_dir).write(path)
+    index = lexical.Index.read(spark, path)
+    postings = index.postings.agg(F.count("*").alias("postings"))
+    return index.stats().select("doc_count", "sum_lengths").crossJoin(postings)
+
+
 @query(
     f"""with {_index_sql()}
 select term, count(distinct source) as sources, count(*) as documents
@@ -253,13 +275,13 @@ class DenseQuerier:
         return dense.search(self.index, queries.select("query_id", "embedding"), top_n)
 
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hybrid(spark: SparkSession, sf_dir: str, index: lexical.Index | None = None) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     asked = _questions(spark, sf_dir).join(
         vectors.select("vec_id", "embedding"), F.col("query_id") % 500 == F.col("vec_id")
     )
     return fusion.retrieve(
-        asked, DenseQuerier(dense.records(vectors, "vec_id", "embedding")), LexicalQuerier(_index(spark, sf_dir))
+        asked, DenseQuerier(dense.records(vectors, "vec_id", "embedding")), LexicalQuerier(index or _index(spark, sf_dir))
     )
 
 
@@ -303,19 +325,63 @@ select query_id, chunk_id, overlap::double as reranker_score, final_rank from pl
 """
 )
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The final 20 by a provider that counts shared terms and drops the rest."""
-    candidates = scratch(fusion.with_text(_hybrid(spark, sf_dir), _chunks(spark, sf_dir)), "candidates")
-    overlap = F.size(F.array_intersect(T.tokens(F.col("query")), T.tokens(F.col("text"))))
-    given = (
-        candidates.join(_questions(spark, sf_dir), "query_id")
-        .select("query_id", "chunk_id", overlap.alias("score"))
-        .where("score > 0")
-        .select("query_id", "chunk_id", F.struct((-F.col("score")).alias("s"), "chunk_id").alias("position"), "score")
+    """The final 20 by the number of shared terms, counted on postings; others drop out."""
+    index = _index(spark, sf_dir)
+    candidates = scratch(_hybrid(spark, sf_dir, index), "candidates")
+    there = _chunks(spark, sf_dir).where("text is not null").select("chunk_id").distinct()
+    asked = _questions(spark, sf_dir).select(
+        "query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term")
+    )
+    few = broadcast_small(asked, lexical.FEW_TERMS)
+    shared = (
+        index.postings.join(few, "term").join(broadcast_small(candidates.select("query_id", "chunk_id"), 100_000), ["query_id", "chunk_id"])
+        .groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
+    )
+    given = shared.join(there, "chunk_id", "left_semi").select(
+        "query_id", "chunk_id", F.struct((-F.col("score")).alias("s"), "chunk_id").alias("position"), "score"
     )
     done = fusion.by_provider(candidates, given, fusion.FINAL)
     return done.select("query_id", "chunk_id", "reranker_score", "final_rank")
 
 
+def _shared_terms(query: str, texts: list[str]) -> list[tuple[int, float]]:
+    """A reranking provider: places by shared terms, texts without any left out."""
+    import regex
+
+    def terms(text: str) -> set[str]:
+        return set(regex.sub(r"[^\p{L}\p{N}\s]", " ", text.lower()).split())
+
+    asked = terms(query or "")
+    counts = [len(asked & terms(t)) for t in texts]
+    return sorted(((i, float(n)) for i, n in enumerate(counts) if n), key=lambda x: (-x[1], x[0]))
+
+
+@query(
+    f"""with {_HYBRID},
+given as (
+  select query_id, chunk_id, rank, len(list_intersect(
+      list_distinct({_tok("coalesce(question, '')")}), list_distinct({_tok('text')}))) as overlap
+  from candidates join {_TEXTS} using (chunk_id) join eval_items on item_id = query_id
+),
+answered as (select distinct query_id from given where overlap > 0),
+placed as (
+  select *, row_number() over (partition by query_id order by overlap desc, rank) - 1 as final_rank
+  from given where overlap > 0
+),
+rest as (
+  select *, row_number() over (partition by query_id order by rank) - 1 as final_rank
+  from given where query_id not in (select query_id from answered)
+)
+select query_id, chunk_id, overlap::double as reranker_score, final_rank from placed where final_rank < 20
+union all select query_id, chunk_id, null, final_rank from rest where final_rank < 20
+"""
+)
+def rerank_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final 20 through a provider that is called once per query with its candidates' texts."""
+    done = fusion.rerank(_hybrid(spark, sf_dir), _chunks(spark, sf_dir), _shared_terms, _questions(spark, sf_dir))
+    return done.select("query_id", "chunk_id", "reranker_score", "final_rank")
+
+
 # --- Evaluation ----------------------------------------------------------------
 
 _MATCHED = """
@@ -369,8 +435,9 @@ from (select unnest(['tier1', 'tier2', 'tier3', 'missed', 'unknown']) as caught_
 def caught_at_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At which tier each question is first answered."""
     chunks, asked = _chunks(spark, sf_dir), _expected(spark, sf_dir)
-    first = lexical.search(_index(spark, sf_dir), _questions(spark, sf_dir))
-    final = fusion.rerank(_hybrid(spark, sf_dir), chunks).select(
+    index = _index(spark, sf_dir)
+    first = lexical.search(index, _questions(spark, sf_dir))
+    final = fusion.rerank(_hybrid(spark, sf_dir, index), chunks).select(
         "query_id", "chunk_id", (F.col("final_rank") + 1).alias("rank")
     )
     tier1 = evaluation.matched(first, chunks, asked)
@@ -458,12 +525,28 @@ def unwrap_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(T.unwrapped(wrapped), 256).alias("sha"))
 
 
-@query()
+@query(
+    r"""
+with eol as (
+  select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as c from documents
+),
+split as (select doc_id, c, regexp_replace(c, '^---\n(?s:.*?)\n---\n?', '') as body from eol)
+select doc_id::varchar as url, sha256(body) as body_sha,
+  c is null as blocked, case when c is null then 'fetch_failed' end as reason, sha256(body) as source_sha256,
+  case when c is not null then 0.0::double end as parry_score, case when c is not null then 'SAFE' end as parry_label,
+  case when c is not null then 'stub' end as parry_via, ''::varchar as warnings
+from split
+"""
+)
 def markdown_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the markdown reader."""
     docs = load(spark, sf_dir, "documents")
     pages = docs.select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("content"))
-    return readers.read_markdown(pages)
+    done = readers.read_markdown(pages)
+    return done.select(
+        "url", F.sha2("body", 256).alias("body_sha"), "blocked",
+        "reason", "source_sha256", "parry_score", "parry_label", "parry_via", F.array_join("warnings", ",").alias("warnings"),
+    )
 
 
 _PAGE_SQL = """
@@ -499,11 +582,25 @@ def js_only_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html_pages(spark, sf_dir).select("page_id", T.js_only(F.col("html")).alias("js_only"))
 
 
-@query()
+@query(
+    r"""
+with rendered as (
+  select page_id, '# ' || page_id || case when t = '' then '' else chr(10) || chr(10) || t end as markdown from (
+    select page_id, trim(regexp_replace(markdown, '[\t\n\v\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')) as t
+    from bloom_entries where markdown is not null)
+)
+select page_id::varchar as url, sha256(markdown) as markdown_sha, false as truncated, false as blocked, null::varchar as reason,
+  'fetch' as fetched_via, 'SAFE' as parry_label, sha256(markdown) as source_sha256
+from rendered
+"""
+)
 def html_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through the HTML reader."""
     pages = _html_pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("url"), F.col("html").alias("content"))
-    return readers.read_html(pages)
+    return readers.read_html(pages).select(
+        "url", F.sha2("markdown", 256).alias("markdown_sha"), "truncated", "blocked", "reason", "fetched_via",
+        "parry_label", "source_sha256",
+    )
 
 
 _XML_SQL = """
@@ -564,8 +661,11 @@ with last as (
   where markdown is not null and parry_score is not null group by all
 )
 select distinct page_id::varchar as url, coalesce(score, 0) >= 0.8 as blocked,
-  case when coalesce(score, 0) >= 0.8 then 'injection_detected' end as reason,
-  coalesce(score, 0) as parry_score
+  case when coalesce(score, 0) >= 0.8 then 'prompt_injection' end as reason,
+  coalesce(score, 0) as parry_score,
+  case when coalesce(score, 0) >= 0.8 then 'MALICIOUS' when coalesce(score, 0) >= 0.3 then 'SUSPICIOUS' else 'SAFE' end as parry_label,
+  case when score is null then 'stub' else 'api' end as parry_via,
+  case when coalesce(score, 0) >= 0.3 and coalesce(score, 0) < 0.8 then 'prompt_injection_suspicious' else '' end as warnings
 from bloom_entries left join last on last.sha = sha256(markdown) where markdown is not null and trim(markdown) <> ''
 """
 )
@@ -579,7 +679,9 @@ def reader_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = rows.select(F.col("page_id").cast("string").alias("url"), F.col("markdown").alias("body"))
     done = readers.scan(pages, "body", cache=known).withColumn("source_sha256", F.col("sha"))
     result = readers.tagged(done, F.lit(None).cast("string"), [("body", F.col("body"))])
-    return result.select("url", "blocked", "reason", "parry_score").distinct()
+    return result.select(
+        "url", "blocked", "reason", "parry_score", "parry_label", "parry_via", F.array_join("warnings", ",").alias("warnings")
+    ).distinct()
 
 
 @query(
@@ -614,6 +716,48 @@ def chunk_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk(load(spark, sf_dir, "kb_documents"), _KB_KEY, mode="compat")
 
 
+_COVERS = """
+select distinct chunk_id, md5(coalesce(text, '')) as text_md5, ({units})::bigint as units, true as covered, true as within
+from kb_documents where chunk_id is not null
+""".replace("{units}", _UNITS.format(c="coalesce(text, '')"))
+
+
+def _covers(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Per text whether its chunks follow each other without a gap from its start to
+    its end, within the size, and hold what stands at their offsets."""
+    docs = load(spark, sf_dir, "kb_documents").where("chunk_id is not null").select(
+        "chunk_id", F.coalesce("text", F.lit("")).alias("text")
+    ).distinct()
+    keyed = docs.withColumn("key", F.concat_ws("|", "chunk_id", F.md5("text")))
+    parts = chunk.chunk(keyed.select("key", "text"), "key", mode=mode)
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "start", "end")))
+    seen = parts.groupBy("key").agg(
+        ordered.alias("o"), F.bool_and(F.col("token_count") <= 800).alias("within")
+    )
+    follows = F.forall(F.sequence(F.lit(1), F.size("o")), lambda i: (
+        F.when(i == 1, F.element_at("o", i)["start"] == 0)
+        .otherwise((F.element_at("o", i)["start"] <= F.element_at("o", F.greatest(i - 1, F.lit(1)))["end"])
+                   & (F.element_at("o", i)["start"] > F.element_at("o", F.greatest(i - 1, F.lit(1)))["start"]))
+    ))
+    units = T.utf16_length(F.col("text"))
+    return keyed.join(seen, "key").select(
+        "chunk_id", F.md5("text").alias("text_md5"), units.alias("units"),
+        (follows & (F.element_at("o", -1)["end"] == units)).alias("covered"), "within",
+    )
+
+
+@query(_COVERS)
+def chunk_clean_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by the clean rules cover every text."""
+    return _covers(spark, sf_dir, "clean")
+
+
+@query(_COVERS)
+def chunk_compat_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by the published rules cover every text."""
+    return _covers(spark, sf_dir, "compat")
+
+
 @query(
     """
 with kept as (select chunk_id, text from kb_documents where length(text) > 0),
@@ -647,9 +791,9 @@ def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").where("text is not null").select(
         F.sha2("text", 256).alias("sha"), "doc_id", "updated_at"
     )
-    return docs.groupBy("sha").agg(
-        F.min_by("doc_id", F.struct("updated_at", "doc_id")).alias("doc_id"), F.count("*").alias("copies")
-    )
+    first = tracker.first_wins(docs.select("sha", "doc_id", "updated_at"), ["sha"], ["updated_at", "doc_id"])
+    copies = docs.groupBy("sha").agg(F.count("*").alias("copies"))
+    return first.join(copies, "sha").select("sha", "doc_id", "copies")
 
 
 _PAYLOAD = """
@@ -670,9 +814,8 @@ def cache_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         load(spark, sf_dir, "bloom_entries").select("entry_key", "page_id", "kind"), "entry_key", ["page_id", "kind"]
     )
     entries = load(spark, sf_dir, "entries").select("entry_id", "entry_key").distinct()
-    return entries.join(payload, "entry_key", "left").select(
-        "entry_id", F.col("page_id").isNotNull().alias("hit"), "page_id"
-    )
+    found = cache.get(payload, entries.select("entry_key").distinct(), "entry_key")
+    return entries.join(found, "entry_key", "left").select("entry_id", F.coalesce("hit", F.lit(False)).alias("hit"), "page_id")
 
 
 @query(
@@ -706,10 +849,44 @@ def cache_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.alive(cache.with_expiry(rows, F.col("arrived_at")), now).agg(F.count("*").alias("alive"))
 
 
-@query()
+# The two published hashes over code units (all keys are of the basic plane), wrapped at 32 bits.
+_BLOOM_SQL = """
+units as (
+  select k, list_transform(range(1, length(k) + 1), lambda i: unicode(substring(k, i::int, 1))::ubigint) as u from keys
+),
+hashed as (
+  select k,
+    list_reduce(list_prepend(2166136261::ubigint, u), lambda h, c: (xor(h, c) * 16777619) % 4294967296) as a,
+    list_reduce(list_prepend(5381::ubigint, u), lambda h, c: (h * 33 + c) % 4294967296) as b
+  from units
+),
+placed as (
+  select k, list_transform(range(0, 7), lambda i: ((a + i::ubigint * case when b = 0 then 1 else b end) % 4294967296 % 958506)::bigint) as indices
+  from hashed
+)"""
+
+
+@query(
+    f"""with keys as (select distinct entry_key as k from warm_keys where entry_key is not null), {_BLOOM_SQL}
+select count(distinct i)::bigint as bits_set, 958506::bigint as bits, 7::bigint as hashes from (select unnest(indices) as i from placed)
+"""
+)
+def bloom_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and set bits of the filter over all warm keys."""
+    made = cache.bloom(load(spark, sf_dir, "warm_keys"), "entry_key", 100_000)
+    return spark.createDataFrame([(made.popcount(), made.bits, made.hashes)], "bits_set bigint, bits bigint, hashes bigint")
+
+
+@query(
+    f"""with keys as (select distinct entry_key as k from entries where entry_key is not null), {_BLOOM_SQL}
+select e.entry_key, p.indices::varchar as indices from entries e left join placed p on p.k = e.entry_key
+"""
+)
 def bloom_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bit positions of every entry key."""
-    return cache.bloom_indices(load(spark, sf_dir, "entries").select("entry_key"), "entry_key", 100_000)
+    found = cache.bloom_indices(load(spark, sf_dir, "entries").select("entry_key"), "entry_key", 100_000)
+    text = F.concat(F.lit("["), F.array_join("indices", ", "), F.lit("]"))
+    return found.select("entry_key", text.alias("indices"))
 
 
 @query("select distinct e.entry_id from entries e join warm_keys w using (entry_key)")
@@ -723,13 +900,17 @@ def bloom_then_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Tracker -----------------------------------------------------------------------
 
-_ISSUES_SQL = """
+def _listed(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_ISSUES_SQL = f"""
 issues as (
   select snapshot_no, lower(trim(repo)) as repo, issue_number as number, title, plugin,
-    case when status in ('Todo', 'In Progress', 'In Review', 'Done', 'Won''t do') then status else 'Todo' end as status,
-    case when priority in ('P0', 'P1', 'P2', 'Stretch') then priority else 'P2' end as priority,
-    case when wave in ('Wave 0', 'Wave 1', 'Wave 2', 'Future') then wave else 'Wave 1' end as wave,
-    case when effort in ('XS', 'S', 'M', 'L', 'XL') then effort else 'M' end as effort, url
+    case when status in ({_listed(T.STATUSES)}) then status else 'Todo' end as status,
+    case when priority in ({_listed(T.PRIORITIES)}) then priority else 'P2' end as priority,
+    case when wave in ({_listed(T.WAVES)}) then wave else 'Wave 1' end as wave,
+    case when effort in ({_listed(T.EFFORTS)}) then effort else 'M' end as effort, url
   from (select *, row_number() over (partition by snapshot_no, lower(trim(repo)), issue_number
       order by delivered_at desc nulls last, title desc nulls last, plugin desc nulls last, status desc nulls last,
         priority desc nulls last, wave desc nulls last, effort desc nulls last, url desc nulls last) as r
@@ -737,7 +918,7 @@ issues as (
 ),
 board as (select * from issues where snapshot_no = (select max(snapshot_no) from issues))"""
 
-_PLUGIN_LIST = ", ".join(f"'{p}'" for p in tracker.PLUGINS)
+_PLUGIN_LIST = _listed(tracker.PLUGINS)
 _ISSUE_FIELDS = ["title", "plugin", "status", "priority", "wave", "effort", "url"]
 
 
@@ -786,7 +967,7 @@ def plugin_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {_ISSUES_SQL}
 select s.status, count(b.status) as issues
-from (select unnest(['Todo', 'In Progress', 'In Review', 'Done', 'Won''t do']) as status) s left join board b using (status)
+from (select unnest([{_listed(T.STATUSES)}]) as status) s left join board b using (status)
 group by s.status
 """
 )
@@ -797,13 +978,21 @@ def kanban_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {_ISSUES_SQL}
-select plugin, repo, number, row_number() over (partition by plugin order by number desc, repo) as position
-from board qualify position <= 6
-"""
+select plugin, repo, number, row_number() over (partition by plugin order by delivered_at, repo, number) as position
+from board join arrived using (snapshot_no, repo, number) qualify position <= 6
+""".replace("select plugin", """, arrived as (
+  select snapshot_no, lower(trim(repo)) as repo, issue_number as number, max(delivered_at) as delivered_at
+  from project_snapshots where issue_number is not null group by all
+)
+select plugin""", 1)
 )
 def recent_six(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six latest issues of every plugin."""
-    rows = tracker.recent(_board(spark, sf_dir), "plugin", [F.desc("number"), F.col("repo")])
+    """The first six issues of every plugin in order of arrival."""
+    arrived = load(spark, sf_dir, "project_snapshots").where("issue_number is not null").groupBy(
+        "snapshot_no", F.lower(F.trim("repo")).alias("repo"), F.col("issue_number").alias("number")
+    ).agg(F.max("delivered_at").alias("delivered_at"))
+    board = _board(spark, sf_dir).join(arrived, ["snapshot_no", "repo", "number"])
+    rows = tracker.recent(board, "plugin", [F.col("delivered_at"), F.col("repo"), F.col("number")])
     return rows.select("plugin", "repo", "number", "position")
 
 

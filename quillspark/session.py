@@ -10,7 +10,9 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,24 +73,59 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_LOADED: dict[tuple[str, str], DataFrame] = {}
+_LOADING = threading.Lock()
+
+
+def once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is built once per application, however many threads ask for it.
+
+    Later calls read what the first one wrote; a build that fails is not kept.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    with _LOADING:
+        if key not in _LOADED:
+            _LOADED[key] = scratch(build(), "once")
+        return _LOADED[key]
+
+
+def forget(spark: SparkSession, name: str) -> None:
+    """Let the next call of ``once`` build anew."""
+    _LOADED.pop((spark.sparkContext.applicationId, name), None)
+
+
+def secret(path: str | None, *variables: str) -> str | None:
+    """A provider's key: the trimmed content of a file, else the first environment
+    variable that holds one, else nothing.  For provider settings on the driver;
+    a secret is never a column."""
+    if path and os.path.isfile(path):
+        with open(path, encoding="utf-8") as file:
+            text = file.read().strip()
+        if text:
+            return text
+    return next((v for v in (os.environ.get(x, "").strip() for x in variables) if v), None)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, used before any broadcast."""
+    """Catalyst's size estimate of a plan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
     """A narrow plan over at least as many partitions as there are cores.
 
-    A few small files would leave costly per-row work to a few tasks; tables of
-    many files are left as they are, and so are plans with a shuffle of their own.
+    A few small files would leave costly per-row work to a few tasks.  Only plans
+    that Catalyst estimates at no more than ``max_bytes`` are redistributed;
+    larger ones, and those with a shuffle of their own, are left as they are
+    (their scan splits by ``spark.sql.files.maxPartitionBytes``).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+    if bounded_bytes(df) > max_bytes or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
         return df
     planned = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df if planned >= cores else df.repartition(cores)

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def markdown_corpus(spark: SparkSession, *roots: str) -> DataFrame:
     """``doc_id, text`` of all ``.md`` files below the roots; the id is the path
-    below its root.  Missing and unreadable files are skipped."""
+    below its root.  Missing and unreadable files are skipped.  A root is a plain
+    path: characters of patterns stand for themselves."""
     parts = []
     for root in roots:
         files = (
             spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
             .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-            .text(root, wholetext=True)
+            .text(re.sub(r"([\[\]{}*?\\])", r"\\\1", root), wholetext=True)
         )
-        path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-        doc_id = F.regexp_replace(path, "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
+        # The path comes as a URI; a plus in it stands for itself.
+        plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        path = F.regexp_replace(plain, "^file:/+", "/")
+        doc_id = F.regexp_replace(path, "^.*?" + re.escape(root.rstrip("/")) + "/", "")
         parts.append(files.select(doc_id.alias("doc_id"), F.col("value").alias("text")))
     out = parts[0]
     for p in parts[1:]:

@@ -3,14 +3,16 @@
     spark.dataSource.register(IssueSource)
     spark.read.format("issues").option("slugs", "a,b").load()
 
-One partition per slug; each reads pages of 50, at most four, and stops at the
-last page or at the first that fails.  The default fetcher reads JSON pages from
+One partition per slug; each reads pages of 50 up to the option ``pages`` (four
+unless given, ``all`` for no limit), and stops at the last page or at the first
+that fails.  The default fetcher reads JSON pages from
 files ``{root}/{slug}/{page}.json`` (option ``root``), so the source also works
 without a network; a subclass overrides ``fetch`` for a live endpoint.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -34,6 +36,8 @@ class IssueReader(DataSourceReader):
         self.slugs = [s.strip() for s in options.get("slugs", "").split(",") if s.strip()]
         self.root = options.get("root", "")
         self.permissive = options.get("mode", "strict") == "permissive"
+        pages = options.get("pages", str(PAGES))
+        self.pages = None if pages == "all" else int(pages)
         self.fetch = fetch
 
     def partitions(self) -> list[InputPartition]:
@@ -41,7 +45,7 @@ class IssueReader(DataSourceReader):
 
     def read(self, partition: SlugPartition) -> Iterator[tuple]:
         position = 0
-        for page in range(PAGES):
+        for page in itertools.count() if self.pages is None else range(self.pages):
             try:
                 body = self.fetch(self.root, partition.slug, page)
             except Exception:

@@ -246,14 +246,14 @@ def test_scan_states(spark):
     assert dict(rows(done.select("url", "parry_label"))) == {"a": "MALICIOUS", "b": "SUSPICIOUS", "c": "SAFE", "d": "SAFE", "e": "MALICIOUS"}
     assert dict(rows(done.select("url", "parry_via")))["d"] == "stub"
     kept = readers.verdict_rows(done)
-    assert kept.count() == 3
+    assert kept.count() == 4
     again = readers.scan(pages, "content", lambda t: 0.0, kept)
     assert dict(rows(again.select("url", "parry_label")))["a"] == "MALICIOUS"
     other = readers.scan(pages, "content", None, kept, malicious=0.95)
     assert dict(rows(other.select("url", "parry_label")))["a"] == "SAFE"
     result = {r["url"]: r for r in readers.read_markdown(pages, scanner=scanner).collect()}
-    assert result["a"]["reason"] == "injection_detected" and result["a"]["body"] is None
-    assert result["b"]["warnings"] == ["SUSPICIOUS"]
+    assert result["a"]["reason"] == "prompt_injection" and result["a"]["body"] is None
+    assert result["b"]["warnings"] == ["prompt_injection_suspicious"]
 
 
 def test_html_reader_and_dispatch(spark):
