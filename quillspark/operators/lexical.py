@@ -74,7 +74,8 @@ def one_per_key(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 def build(documents: DataFrame, key: str = "chunk_id", text: str = "text") -> Index:
     """The index of a table of texts; a null text has no terms."""
-    terms = one_per_key(documents, key, text).select("chunk_id", T.tokens(F.col("text")).alias("terms"))
+    rows = session.spread(one_per_key(documents, key, text), "chunk_id")
+    terms = rows.select("chunk_id", T.tokens(F.col("text")).alias("terms"))
     docs = terms.select("chunk_id", F.size("terms").cast("bigint").alias("length"))
     postings = (
         terms.select("chunk_id", F.explode("terms").alias("term"))

@@ -116,19 +116,22 @@ def bounded_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def spread(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None, max_bytes: int = 1 << 30) -> DataFrame:
     """A narrow plan over at least as many partitions as there are cores.
 
     A few small files would leave costly per-row work to a few tasks.  Only plans
     that Catalyst estimates at no more than ``max_bytes`` are redistributed;
     larger ones, and those with a shuffle of their own, are left as they are
-    (their scan splits by ``spark.sql.files.maxPartitionBytes``).
+    (their scan splits by ``spark.sql.files.maxPartitionBytes``).  With a ``key``
+    rows go by its hash, so that a later grouping by it does not move them again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if bounded_bytes(df) > max_bytes or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
         return df
     planned = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if planned >= cores else df.repartition(cores)
+    if planned >= cores:
+        return df
+    return df.repartition(cores) if key is None else df.repartition(cores, key)
 
 
 def broadcast_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
