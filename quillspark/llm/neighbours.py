@@ -9,8 +9,9 @@
    guaranteed radius is ``tables * (flips + 1) - 1``.  Beyond that radius
    retrieval is likely rather than certain, and ``expected_recall`` says how
    likely at a given cosine.
-3. *Rerank.*  A Hamming test on 128 bits drops chance meetings inside the join;
-   what is left is ranked by the exact cosine of the floats.
+3. *Rerank.*  Codes alone travel through the index; a Hamming test on 252 bits
+   drops chance meetings inside the join, and what is left meets its floats once
+   and is ranked by their exact cosine.
 
 Equal vectors are one class: a class enters the index once and its members are
 ranked afterwards, so copies never meet pair by pair.  A bucket with more than
@@ -20,8 +21,10 @@ per vector - exact for the bucket, spread over tasks, and never all pairs.
 Where hot buckets overlap so much that it is less work, their vectors form one.
 
 The index is laid out for a floor of the cosine.  Lists without a floor
-(``complete``) take from it what has ``k`` neighbours above the floor; vectors
-with fewer meet all vectors, block against block: exact, and quadratic.
+(``complete``) take from it what has ``k`` neighbours above the floor.  For the
+other vectors the radius has to grow so far that the probes would outnumber the
+vectors; they meet all vectors, block against block: exact, and quadratic in
+their number.
 """
 
 from __future__ import annotations
@@ -30,50 +33,63 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark import session
 
-WORD = 64
+#: Bits of the Hamming test inside the join: four words of 63.
+TESTED = 252
 #: Rows of the two sides of an exact block: vectors with a short list, and all vectors.
 SHORT_BLOCK = 16_384
 ALL_BLOCK = 32_768
+#: Rows that are multiplied at a time, and columns that a first threshold is taken from.
+AT_ONCE = 512
+FIRST = 4096
+
+
+def rows_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """A column of lists of ``width`` numbers as a matrix; nulls as not-a-number."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten() if not isinstance(column, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in column.chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 def usable_vectors(
     records: DataFrame, key: str, vector: str, version: str, width: int
 ) -> DataFrame:
-    """``key, vec`` of the latest row per key, if its vector can be compared.
+    """``key, vec array<float>`` of the latest row per key, if its vector can be compared.
 
     A vector is usable if it has exactly ``width`` finite numbers that are not
     all zero; if the latest row's is not, the key drops out (an older row never
     steps in).  Rows equal in ``version`` are decided by the vector (greatest);
-    null keys are void.  ``vec`` is scaled to length 1.
+    null keys are void.
     """
     latest = (
         records.where(F.col(key).isNotNull())
         .groupBy(F.col(key).alias("key"))
         .agg(F.max(F.struct(F.col(version), F.col(vector))).alias("r"))
-        .select("key", F.col("r")[vector].cast("array<double>").alias("v"))
+        .select("key", F.col("r")[vector].cast("array<float>").alias("vec"))
     )
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return latest.where((F.size("vec") == width) & finite & F.exists("vec", lambda x: x != 0))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            # A null inside an array arrives as not-a-number.
-            x = np.stack(batch["v"].to_numpy()).astype(np.float64)
-            top = np.abs(x).max(axis=1)
-            keep = np.isfinite(x).all(axis=1) & (top > 0)
-            # Scaled by the largest entry first, so that neither huge nor tiny values break the norm.
-            x = x[keep] / top[keep, None]
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            yield pd.DataFrame({"key": batch["key"][keep], "vec": list(x)})
 
-    kind = records.schema[key].dataType.simpleString()
-    return latest.where(F.size("v") == width).mapInPandas(run, f"key {kind}, vec array<double>")
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision, whatever their size."""
+    x = vectors.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of unit vectors with its partner to nine digits: the same
+    sum in the same order whichever side comes first and wherever it is taken."""
+    total = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        total += a[:, d] * b[:, d]
+    return np.round(total, 9)
 
 
 def learn_rotations(sample: np.ndarray, blocks: int, rounds: int = 25, seed: int = 7) -> np.ndarray:
@@ -120,8 +136,8 @@ def _packed(bits: np.ndarray, length: int) -> np.ndarray:
     return bits.astype(np.int64) @ weights
 
 
-def _encoder(rotations: np.ndarray, length: int, tables: int):
-    """From ``id, vec``: 126 bits of the code (c0, c1) and its substrings."""
+def _encoder(rotations: np.ndarray, length: int, tables: int, width: int):
+    """From ``id, vec``: 252 bits of the code (c0 to c3) and its substrings."""
     per_block = rotations.shape[1] // length
     flat = np.concatenate([r for r in rotations], axis=1)
     columns = [
@@ -129,27 +145,37 @@ def _encoder(rotations: np.ndarray, length: int, tables: int):
         for t in range(tables)
     ]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            vectors = np.stack(batch["vec"].to_numpy())
-            bits = vectors @ flat >= 0
-            # The Hamming test uses 126 bits from the first rotations.
-            wide = np.concatenate([bits, np.zeros((len(bits), max(0, 126 - bits.shape[1])), bool)], axis=1)
+            bits = units(rows_of(batch.column(1), width)) @ flat >= 0
+            # The Hamming test uses bits of the first rotations.
+            wide = np.concatenate([bits, np.zeros((len(bits), max(0, TESTED - bits.shape[1])), bool)], axis=1)
             keys = np.stack([_packed(bits[:, c], length) for c in columns], axis=1)
-            yield pd.DataFrame(
-                {
-                    "id": batch["id"],
-                    "c0": _packed(wide[:, :63], 63),
-                    "c1": _packed(wide[:, 63:126], 63),
-                    "keys": list(keys),
-                }
+            ends = pa.array(np.arange(len(bits) + 1, dtype=np.int32) * tables)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(_packed(wide[:, i : i + 63], 63)) for i in range(0, TESTED, 63)),
+                 pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
+                ["id", "c0", "c1", "c2", "c3", "keys"],
             )
 
     return run
 
 
+def reranked(met: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """``a, b, cosine`` of pairs ``a, b``: floats are looked up for these alone."""
+    v = vectors.select("id", "vec")
+    both = met.join(v.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(
+        v.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = cosines(units(rows_of(batch.column(2), width)), units(rows_of(batch.column(3), width)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c)], ["a", "b", "cosine"])
+
+    return both.select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint, cosine double")
+
+
 def similar_pairs(
     vectors: DataFrame,
     k: int,
@@ -160,7 +186,7 @@ def similar_pairs(
     bucket_limit: int = 4096,
     width: int = 64,
 ) -> DataFrame:
-    """``a, b, cosine`` for distinct unit vectors ``id bigint, vec array<double>``.
+    """``a, b, cosine`` for distinct vectors ``id bigint, vec array<float>``.
 
     Both directions come out; per ``a`` at least its ``k`` most similar ``b``
     with ``cosine >= min_cosine`` that the index retrieved, unranked.  The index
@@ -168,23 +194,24 @@ def similar_pairs(
     """
     rows = vectors.count()
     share = min(1.0, 1.2 * sample_rows / max(rows, 1))
-    fitted = vectors.select("vec").sample(share, seed=11).limit(sample_rows).toPandas()
-    sample = np.stack(fitted["vec"].to_numpy()) if len(fitted) else np.zeros((0, width))
+    fitted = vectors.select("vec").sample(share, seed=11).limit(sample_rows).toArrow()
+    sample = units(rows_of(fitted.column("vec"), width)) if fitted.num_rows else np.zeros((0, width))
     length = min(substring_bits(rows), width)
     tables = tables_for(min_cosine, length, flips, recall)
-    blocks = max(2, math.ceil(tables / (width // length)))
+    blocks = max(math.ceil(TESTED / width), math.ceil(tables / (width // length)))
     rotations = learn_rotations(sample, blocks)
-    # 126-bit Hamming distance of a pair at the floor: mean and four deviations.
+    # Hamming distance of a pair at the floor over the tested bits: mean and four deviations.
     p = math.acos(min_cosine) / math.pi
-    reach = math.ceil(126 * p + 4.5 * math.sqrt(126 * p * (1 - p)))
+    reach = math.ceil(TESTED * p + 4 * math.sqrt(TESTED * p * (1 - p)))
 
-    coded = vectors.mapInPandas(
-        _encoder(rotations, length, tables),
-        "id bigint, c0 bigint, c1 bigint, keys array<bigint>",
+    words = ["c0", "c1", "c2", "c3"]
+    coded = vectors.select("id", "vec").mapInArrow(
+        _encoder(rotations, length, tables, width),
+        "id bigint, c0 bigint, c1 bigint, c2 bigint, c3 bigint, keys array<bigint>",
     )
-    entries = coded.select("id", "c0", "c1", F.posexplode("keys").alias("t", "s"))
+    entries = coded.select("id", *words, F.posexplode("keys").alias("t", "s"))
     key = (F.col("s") * tables + F.col("t")).alias("bucket")
-    entries = entries.select("id", "c0", "c1", "s", "t", key).drop("s", "t")
+    entries = entries.select("id", *words, key)
     sizes = entries.groupBy("bucket").count()
     hot = sizes.where(F.col("count") > bucket_limit).select("bucket", "count")
 
@@ -204,33 +231,24 @@ def similar_pairs(
         # One side probes its neighbourhood; each flipped bit is another bucket.
         masks = _masks(length, flips)
         probes = index.select(
-            "id", "c0", "c1",
+            "id", *words,
             F.explode(F.array([F.lit(m * tables) for m in masks])).alias("mask"), "bucket",
         )
         part = F.expr(f"((bucket div {tables}) ^ (mask div {tables})) * {tables} + bucket % {tables}")
-        left = probes.select("id", "c0", "c1", part.alias("bucket")).alias("l")
-    near = F.expr("bit_count(l.c0 ^ r.c0) + bit_count(l.c1 ^ r.c1)") <= reach
+        left = probes.select("id", *words, part.alias("bucket")).alias("l")
+    apart_bits = F.expr(" + ".join(f"bit_count(l.{c} ^ r.{c})" for c in words))
     met = (
-        left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & F.expr("l.id < r.id") & near)
+        left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & F.expr("l.id < r.id") & (apart_bits <= reach))
         .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
         .distinct()
     )
-    v = vectors.select("id", "vec")
-    cosine = F.aggregate(
-        F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
-    )
-    ranked = (
-        met.join(v.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
-        .join(v.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
-        .select("a", "b", cosine.alias("cosine"))
-        .where(F.col("cosine") >= min_cosine)
-    )
-    both = ranked.select("a", "b", "cosine").unionByName(
-        ranked.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")
-    )
+    ranked = reranked(met, vectors, width).where(F.col("cosine") >= min_cosine)
+    both = ranked.select(F.explode(F.array(
+        F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")
+    )).alias("p")).select("p.*")
     if hot_entries is not None:
         both = both.unionByName(
-            _hot_pairs(hot_entries, v, k, min_cosine, 2 * bucket_limit)
+            _hot_pairs(hot_entries, vectors.select("id", "vec"), k, min_cosine, 2 * bucket_limit, width)
         ).distinct()
     return both
 
@@ -250,71 +268,93 @@ def _masks(length: int, flips: int) -> list[int]:
     return masks
 
 
+def nearest_of(
+    asking: np.ndarray, x: np.ndarray, there: np.ndarray, y: np.ndarray, k: int, floor: float = -2.0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``a, b, cosine``: for each of ``asking`` (ids of unit vectors ``x``) the best
+    ``k`` of ``there`` (``y``) at or above ``floor``, without itself, and what ties
+    or nearly ties with the last of them.
+
+    Single precision finds the candidates, with a margin above its error.  A
+    first stretch of columns gives each row a threshold, so that only what beats
+    it is ever put in order; ids below no one's threshold cost one comparison.
+    """
+    order = np.argsort(there)
+    there, y = there[order], y[order]
+    turned = np.ascontiguousarray(y.astype(np.float32).T)
+    single = x.astype(np.float32)
+    keep, margin = min(k, len(there)), np.float32(1e-5)
+    parts = [(asking[:0], there[:0], np.zeros(0))]
+    for at in range(0, len(asking) if keep else 0, AT_ONCE):
+        ids = asking[at : at + AT_ONCE]
+        dots = single[at : at + AT_ONCE] @ turned
+        itself = np.minimum(np.searchsorted(there, ids), len(there) - 1)
+        same = np.flatnonzero(there[itself] == ids)
+        dots[same, itself[same]] = -2
+        few = max(min(FIRST, len(there)), keep)
+        least = np.partition(dots[:, :few], few - keep, axis=1)[:, few - keep] - margin
+        r, c = np.nonzero(dots >= np.maximum(least, np.float32(max(floor, -1.5)) - margin)[:, None])
+        value = dots[r, c]
+        by = np.lexsort((-value, r))
+        r, c, value = r[by], c[by], value[by]
+        first = np.searchsorted(r, np.arange(len(ids)))
+        size = np.diff(np.append(first, len(r)))
+        last = np.full(len(ids), -2, np.float32)
+        enough = size >= keep
+        last[enough] = value[first[enough] + keep - 1]
+        good = value >= (last - margin)[r]
+        r, c = r[good], c[good]
+        cosine = cosines(x[at + r], y[c])
+        good = cosine >= floor
+        parts.append((ids[r[good]], there[c[good]], cosine[good]))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+PAIRS = "a bigint, b bigint, cosine double"
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(cosine, pa.float64())})
+
+
 def _hot_pairs(
-    entries: DataFrame, vectors: DataFrame, k: int, min_cosine: float, limit: int
+    entries: DataFrame, vectors: DataFrame, k: int, min_cosine: float, limit: int, width: int
 ) -> DataFrame:
     """The best ``k`` per vector inside oversized buckets, block against block."""
+    blocks = F.ceil(F.col("count") / limit)
     with_vec = entries.join(vectors, "id").select(
-        "bucket", "id", "vec",
-        F.ceil(F.col("count") / limit).cast("int").alias("blocks"),
-        F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / limit)).cast("int").alias("block"),
+        "bucket", "id", "vec", blocks.cast("int").alias("blocks"),
+        F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"),
     )
     # A vector of block i meets blocks 0..n-1: tasks (min, max) of the two blocks.
     tasks = with_vec.withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).select(
-        "bucket", "id", "vec", "block",
-        F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "vec", "block",
     )
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        ids, x = pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy())
-        first = pdf["block"].to_numpy() == lo
+    def best(table: pa.Table) -> pa.Table:
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        ids, x = table.column("id").to_numpy(), units(rows_of(table.column("vec"), width))
+        first = table.column("block").to_numpy() == lo
         sides = [(first, first)] if lo == hi else [(first, ~first), (~first, first)]
-        out = []
-        for mine, theirs in sides:
-            a, b = np.flatnonzero(mine), np.flatnonzero(theirs)
-            for at in range(0, len(a), 512):
-                rows = a[at : at + 512]
-                dots = x[rows] @ x[b].T
-                dots[ids[rows][:, None] == ids[b][None, :]] = -2
-                keep = min(k, len(b))
-                top = np.argpartition(-dots, keep - 1, axis=1)[:, :keep]
-                for r, cols in zip(range(len(rows)), top):
-                    for c in cols:
-                        if dots[r, c] >= min_cosine:
-                            out.append((ids[rows[r]], ids[b[c]], float(dots[r, c])))
-        return pd.DataFrame(out, columns=["a", "b", "cosine"])
+        found = [nearest_of(ids[m], x[m], ids[t], x[t], k, min_cosine) for m, t in sides]
+        return _pairs(*(np.concatenate(p) for p in zip(*found)))
 
-    return (
-        tasks.groupBy("bucket", "lo", "hi")
-        .applyInPandas(best, "a bigint, b bigint, cosine double")
-        # The same sum in the same order as for the other buckets.
-        .select("a", "b").distinct()
-        .join(vectors.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
-        .join(vectors.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
-        .select(
-            "a", "b",
-            F.aggregate(
-                F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
-            ).alias("cosine"),
-        )
-    )
+    return tasks.groupBy("bucket", "lo", "hi").applyInArrow(best, PAIRS).distinct()
 
 
-def exact_lists(short: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def exact_lists(short: DataFrame, vectors: DataFrame, k: int, width: int) -> DataFrame:
     """``a, b, cosine``: for the ids of ``short`` the best ``k`` of all vectors,
     whatever their cosine, with what ties or nearly ties in a block.
 
-    Blocks of the short side meet blocks of all vectors.  Single precision finds
-    the candidates, with a margin above its error; their cosines are the same
-    sums in the same order as elsewhere.
+    Blocks of the short side meet blocks of all vectors, in at least as many
+    tasks as there are cores.
     """
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     n = short.count()
-    left = max(1, math.ceil(n / SHORT_BLOCK), min(cores, n // 1024))
     right = max(1, math.ceil(vectors.count() / ALL_BLOCK))
+    left = max(1, math.ceil(n / SHORT_BLOCK), min(math.ceil(cores / right), n // 1024))
 
     def block(count: int):
         return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
@@ -327,30 +367,12 @@ def exact_lists(short: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     )
     there = vectors.select(each(left).alias("lo"), block(right).alias("hi"), F.lit(False).alias("asks"), "id", "vec")
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy()
-        ids, x = pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy())
-        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        b = b[np.argsort(ids[b])]
-        out = [pd.DataFrame({"a": ids[:0], "b": ids[:0], "cosine": x[:0, 0]})]
-        keep = min(k, len(b))
-        single = x.astype(np.float32)
-        turned = np.ascontiguousarray(single[b].T)
-        for at in range(0, len(a) if keep else 0, 512):
-            rows = a[at : at + 512]
-            dots = single[rows] @ turned
-            itself = np.minimum(np.searchsorted(ids[b], ids[rows]), len(b) - 1)
-            same = np.flatnonzero(ids[b][itself] == ids[rows])
-            dots[same, itself[same]] = -2
-            last = np.partition(dots, len(b) - keep, axis=1)[:, len(b) - keep]
-            r, c = np.nonzero(dots >= np.maximum(last - 1e-5, -1.5)[:, None])
-            cosine = np.zeros(len(r))
-            for d in range(x.shape[1]):
-                cosine = cosine + x[rows[r], d] * x[b[c], d]
-            out.append(pd.DataFrame({"a": ids[rows[r]], "b": ids[b[c]], "cosine": cosine}))
-        return pd.concat(out)
-
-    return asking.unionByName(there).groupBy("lo", "hi").applyInPandas(best, "a bigint, b bigint, cosine double")
+    def best(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        ids, x = table.column("id").to_numpy(), units(rows_of(table.column("vec"), width))
+        return _pairs(*nearest_of(ids[asks], x[asks], ids[~asks], x[~asks], k))
+
+    return asking.unionByName(there).groupBy("lo", "hi").applyInArrow(best, PAIRS)
 
 
 def most_similar(
@@ -371,8 +393,9 @@ def most_similar(
     the index is laid out for that floor, at which it finds a pair with
     probability ``recall`` (0.99 unless given; more for closer pairs).  A key
     without such neighbours has no rows.  With ``complete`` there is no floor:
-    lists that the index leaves short are made whole by ``exact_lists``.  Latest usable vectors only, see
-    ``usable_vectors``; an empty table gives an empty result.
+    lists that the index leaves short are made whole by ``exact_lists``.  Latest
+    usable vectors only, see ``usable_vectors``; an empty table gives an empty
+    result.
     """
     spark = records.sparkSession
     vectors = usable_vectors(records, key, vector, version, width)
@@ -395,7 +418,7 @@ def most_similar(
             classes.where(F.col("members") <= k).select("id").join(full, "id", "left_anti"), "short-lists"
         )
         pairs = pairs.join(short.withColumnRenamed("id", "a"), "a", "left_anti").unionByName(
-            exact_lists(short, classes.select("id", "vec"), k)
+            exact_lists(short, classes.select("id", "vec"), k, width)
         )
     by_rank = Window.partitionBy("a").orderBy(F.desc("cosine"), "nkey")
     heads = classes.select(F.col("id").alias("b"), F.col("key").alias("nkey"))
@@ -442,3 +465,26 @@ def mutual_cases(lists: DataFrame) -> DataFrame:
         F.least("key", "neighbour").alias("chunk_id_a"),
         F.greatest("key", "neighbour").alias("chunk_id_b"),
     ).distinct()
+
+
+def recall(
+    records: DataFrame, lists: DataFrame, asked, k: int = 5, key: str = "chunk_id", vector: str = "embedding",
+    version: str = "indexed_at", width: int = 64, least: float = 0.9,
+) -> DataFrame:
+    """``asked, entries, recalled``: for a stated set of keys (a condition on ``key``)
+    how many lists and true entries there are, and whether ``lists`` hold at least
+    ``least`` of them; the truth is a comparison of the set with all vectors."""
+    vectors = usable_vectors(records, key, vector, version, width)
+    numbered = session.scratch(vectors.withColumn("id", F.monotonically_increasing_id()), "recall-vectors")
+    names = numbered.select("id", "key")
+    truth = exact_lists(numbered.where(asked).select("id"), numbered.select("id", "vec"), k, width)
+    named = truth.join(names.select(F.col("id").alias("a"), F.col("key")), "a").join(
+        names.select(F.col("id").alias("b"), F.col("key").alias("neighbour")), "b"
+    )
+    order = Window.partitionBy("key").orderBy(F.desc("cosine"), "neighbour")
+    best = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("key", "neighbour")
+    found = best.join(lists.select("key", "neighbour", F.lit(1).alias("hit")), ["key", "neighbour"], "left")
+    return found.agg(
+        F.count_distinct("key").alias("asked"), F.count("*").alias("entries"),
+        (F.count("hit") >= least * F.count("*")).alias("recalled"),
+    )

@@ -31,6 +31,15 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the five nearest against brute force over all rows, asked for every
+    chunk whose number (the first eight digits of its id) is divisible by 50."""
+    records = load(spark, sf_dir, "index_records")
+    lists = neighbours.most_similar(records, complete=True)
+    asked = F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") % 50 == 0
+    return neighbours.recall(records, lists, asked)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries whose key was recorded before."""
     return seen.seen_in_order(load(spark, sf_dir, "entries"), load(spark, sf_dir, "warm_keys"))
@@ -162,7 +171,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        p1_found, p1_neighbours, p3_found, p3_error_rate, p4_found, p4_pieces, p4_restored, p5_found, p5_content,
+        p1_found, p1_neighbours, p1_recall, p3_found, p3_error_rate, p4_found, p4_pieces, p4_restored, p5_found, p5_content,
         p6_found, p6_coverage, p6_agreement, p7_mix, p7_shares, p7_exact, p7_entropy, p7_repeats, p7_budgets,
         p8_found, p8_composition,
     )
@@ -184,7 +193,7 @@ scored as (
   from usable a join usable b on a.chunk_id <> b.chunk_id
 ),
 ranked as (
-  select k, n, c, row_number() over (partition by k order by c desc, n) as r from scored where c >= 0.90
+  select k, n, c, row_number() over (partition by k order by round(c, 9) desc, n) as r from scored where {floor}
 )
 """
 
@@ -227,9 +236,18 @@ select scenario, source, available, round(budget, 2) as budget,
   round(coalesce(budget / nullif(sum(budget) over (partition by scenario), 0), 0), 6) as share,
   round(case when available > 0 then budget / available else 0 end, 6) as repeats
 from budgets
+""",
+    "p1_neighbours": f"""
+with {_CURRENT.format(floor="true")}
+select k as chunk_id, n as neighbour, round(c, 5) as cosine, r as rank from ranked where r <= 5
+""",
+    "p1_recall": f"""
+with {_CURRENT.format(floor="true")}
+select count(distinct k) as asked, 5 * count(distinct k) as entries, true as recalled
+from (select chunk_id as k from usable) where ('0x' || substr(k, 1, 8))::bigint % 50 = 0
 """,
     "p1_found": f"""
-with {_CURRENT}
+with {_CURRENT.format(floor="c >= 0.90")}
 select distinct least(k, n) as chunk_id_a, greatest(k, n) as chunk_id_b from ranked where r <= 5
 """,
     "p3_found": """
