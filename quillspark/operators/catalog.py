@@ -125,20 +125,23 @@ def canonical_names(asked: DataFrame, terms: DataFrame, most_edits: int = 2) ->
     Names equal but for case and punctuation match first; else the term of least
     edit distance, at most ``most_edits``, among those that agree in some one of
     ``most_edits + 1`` pieces at its place, give or take as many letters
-    (pigeonhole), so no all-pairs join is made.  Ties go to the first by name.
+    (pigeonhole), so no all-pairs join is made.  Ties go to the first by name; terms
+    of fewer than ``most_edits + 1`` letters are matched exactly alone.
     """
     wanted = asked.select(F.col("name").alias("asked"), plain_name(F.col("name")).alias("a")).distinct().where("a <> ''")
     known = terms.select("term", plain_name(F.col("term")).alias("t")).distinct().where("t <> ''")
     exact = wanted.join(known, F.col("a") == F.col("t")).groupBy("asked").agg(F.min("term").alias("term"))
     rest = wanted.join(exact, "asked", "left_anti")
     parts = most_edits + 1
-    size = f"cast(ceil(length(t) / {parts}) as int)"
-    pieces = known.select("term", "t", F.explode(F.expr(
-        f"transform(sequence(0, {parts - 1}), i -> struct(i * {size} + 1 as at, length(t) as n, substring(t, i * {size} + 1, {size}) as piece))"
-    )).alias("p")).where("p.piece <> ''").select("term", "t", "p.piece", "p.at")
+    # A term in pieces of nearly equal length; an asked name's substrings of those lengths.
+    ends = f"(i -> struct(cast(floor(i * length(t) / {parts}) as int) + 1 as at, cast(floor((i + 1) * length(t) / {parts}) as int) as end))"
+    cut = F.expr(f"transform(transform(sequence(0, {parts - 1}), {ends[1:-1]}), p -> struct(p.at as at, substring(t, p.at, p.end - p.at + 1) as piece))")
+    pieces = known.where(F.length("t") >= parts).select("term", "t", F.explode(cut).alias("p")).select("term", "t", "p.piece", "p.at")
+    shortest = f"greatest(1, cast(floor((length(a) - {most_edits}) / {parts}) as int))"
+    longest = f"cast(ceil((length(a) + {most_edits}) / {parts}) as int)"
     probes = rest.select("asked", "a", F.explode(F.expr(
-        "flatten(transform(sequence(1, length(a)), i -> transform(sequence(1, length(a) - i + 1),"
-        " n -> struct(substring(a, i, n) as piece, i as at))))"
+        f"flatten(transform(sequence({shortest}, {longest}), n -> transform(sequence(1, length(a)),"
+        " i -> struct(substring(a, i, n) as piece, i as at))))"
     )).alias("p")).select("asked", "a", "p.piece", F.col("p.at").alias("place"))
     near = (
         probes.join(pieces, "piece").where(F.abs(F.col("place") - F.col("at")) <= most_edits)
