@@ -109,6 +109,17 @@ def p5_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_content(_pages(spark, sf_dir)).distinct()
 
 
+def p5_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page its lines that are not blank, and whether each is either content or template."""
+    pages = _pages(spark, sf_dir).where("markdown is not null").select("page_id", "entry_key", "markdown").distinct()
+    filled = lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: x.rlike(r"[^\s\p{Z}]")))
+    out = boilerplate.boilerplate_lines(pages).distinct().groupBy("page_id").agg(F.count("*").alias("out"))
+    kept = boilerplate.main_content(pages)
+    counts = pages.select("page_id", filled(F.col("markdown")).alias("lines")).join(kept, "page_id").join(out, "page_id", "left")
+    whole = filled(F.col("content")) + F.coalesce("out", F.lit(0)) == F.col("lines")
+    return counts.select("page_id", F.col("lines").cast("bigint").alias("lines"), whole.alias("parted"))
+
+
 def _mixture(spark: SparkSession, sf_dir: str, total: str = "corpus", **size) -> mixing.Plan:
     documents = mixing.sized(load(spark, sf_dir, "documents"), **size)
     return mixing.plan(documents, load(spark, sf_dir, "mix_targets"), total)
@@ -124,6 +135,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report()
 
 
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every source is within one document of its budget and within its limit."""
+    plan = _mixture(spark, sf_dir)
+    largest = plan.documents.groupBy("source").agg(F.max("tokens").alias("largest"))
+    report = plan.report().join(plan.budgets.select("scenario", "source", "budget"), ["scenario", "source"])
+    near = F.abs(F.col("tokens") - F.col("budget")) <= F.coalesce("largest", F.lit(0))
+    few = F.col("max_repeats").isNull() | (F.col("most_copies") <= F.ceil("max_repeats"))
+    return report.join(largest, "source", "left").select("scenario", "source", (near & few).alias("kept"))
+
+
 def p7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares at the largest total at which every target holds exactly."""
     return _mixture(spark, sf_dir, "exact").report()
@@ -163,6 +184,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.two_at_most(_subjects(spark, sf_dir))
 
 
+def p8_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents, and whether nine in ten have exactly the (noisy) labels' subjects."""
+    labels, names = load(spark, sf_dir, "subject_labels"), load(spark, sf_dir, "subjects")
+    there = load(spark, sf_dir, "documents").where("text is not null").select("doc_id").distinct()
+    clean = labels.select("doc_id", subjects.clean_subject(F.col("subject")).alias("subject"))
+    told = clean.join(names.select("subject"), "subject", "left_semi").join(there, "doc_id", "left_semi")
+    sets = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias(name))
+    found = sets(subjects.two_at_most(_subjects(spark, sf_dir)), "found")
+    both = sets(told, "told").join(found, "doc_id", "left")
+    return both.agg(
+        F.count("*").alias("labelled"),
+        (F.count_if(F.col("told") == F.coalesce("found", F.array().cast("array<string>"))) >= 0.9 * F.count("*")).alias("agreeing"),
+    )
+
+
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus counted by subject."""
     return subjects.composition(_subjects(spark, sf_dir), load(spark, sf_dir, "documents"))
@@ -172,8 +208,8 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         p1_found, p1_neighbours, p1_recall, p3_found, p3_error_rate, p4_found, p4_pieces, p4_restored, p5_found, p5_content,
-        p6_found, p6_coverage, p6_agreement, p7_mix, p7_shares, p7_exact, p7_entropy, p7_repeats, p7_budgets,
-        p8_found, p8_composition,
+        p5_partition, p6_found, p6_coverage, p6_agreement, p7_mix, p7_shares, p7_kept, p7_exact, p7_entropy, p7_repeats, p7_budgets,
+        p8_found, p8_agreement, p8_composition,
     )
 }
 
@@ -267,6 +303,18 @@ select distinct chunk_id,
     then 'hard' else 'soft' end as cut
 from kb_documents k join chunk_options o on coalesce(k.option_set, 'default') = o.option_set
 where length(text) > 4 * chunk_size
+""",
+    "p5_partition": r"""
+select page_id, len(list_filter(string_split(markdown, chr(10)), lambda x: regexp_matches(x, '[^\s\p{Z}]')))::bigint as lines, true as parted
+from (select distinct page_id, markdown from bloom_entries where kind = 'content' and markdown is not null)
+""",
+    "p7_kept": f"""
+select distinct scenario, {_SOURCE} as source, true as kept from mix_targets where scenario is not null and source is not null
+""",
+    "p8_agreement": r"""
+select count(distinct doc_id) as labelled, true as agreeing from subject_labels
+where regexp_replace(lower(trim(subject)), '[\s\-]+', '_', 'g') in (select subject from subjects)
+  and doc_id in (select doc_id from documents where text is not null)
 """,
     "p4_restored": """
 select distinct chunk_id, true as within, true as overlapping, md5(text) as text_md5
