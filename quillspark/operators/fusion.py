@@ -123,7 +123,8 @@ def rerank(
     """
     if n <= 0:
         raise ValueError("n is at least 1")
-    ready = with_text(candidates, chunks)
+    # At most FUSED rows a query; the texts are looked up for these alone.
+    ready = with_text(session.scratch(candidates, "fused"), chunks)
     if provider is None or queries is None:
         return by_input_order(ready, n)
     # A query's candidates are at most FUSED rows; three plans below read them.
@@ -211,11 +212,8 @@ def contextualize(
             F.lit("failed").alias("context_status"),
             F.lit("missing_api_key").alias("context_failure_reason"),
         )
-    # A document's row is taken once; only documents that have chunks move.
-    ids = session.broadcast_small(chunks.select("doc_id").distinct(), 100_000)
-    texts = (
-        documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-        .groupBy("doc_id").agg(F.max("text").alias("__document"))
+    texts = lexical.one_per_key(documents, "doc_id", "text").select(
+        F.col("chunk_id").alias("doc_id"), F.col("text").alias("__document")
     )
     ready = (
         chunks.join(texts, "doc_id", "left").repartition("doc_id").sortWithinPartitions("doc_id", "ordinal")

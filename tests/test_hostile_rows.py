@@ -149,7 +149,7 @@ def test_pipeline_without_providers(spark):
     assert [(r["query_id"], r["final_rank"]) for r in found.collect()] == [(1, 0)]
 
 
-def test_report_and_once(spark):
+def test_report_and_once(spark, tmp_path, monkeypatch):
     none = spark.createDataFrame([], "question_id string, matched boolean")
     assert rows(evaluation.report(none, 0.5, "t")) == [("t: 0/0 matched, failure rate 100.0%, target 50.0% (failed)", False)]
     calls = []
@@ -166,6 +166,11 @@ def test_report_and_once(spark):
             pass
     assert len(calls) == 2
     assert session.secret(None, "QUILLSPARK_NOT_SET") is None
+    (tmp_path / "key").write_text(" from file\n")
+    (tmp_path / "blank").write_text(" \n")
+    monkeypatch.setenv("QUILLSPARK_SET", "from variable")
+    assert session.secret(str(tmp_path / "key"), "QUILLSPARK_SET") == "from file"
+    assert session.secret(str(tmp_path / "blank"), "QUILLSPARK_SET") == "from variable"
 
 
 def test_slugs(spark):
