@@ -50,12 +50,14 @@ def front_body(text: Column) -> Column:
 
 def unwrapped(text: Column) -> Column:
     """The inside of a text that is one fenced block; other texts as they are."""
+    # Fixed value: the published pattern.
     pattern = r"(?s)\A```[a-zA-Z0-9_-]*\n(.*?)\n```\s*\z"
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text)
 
 
 def js_only(html: Column) -> Column:
     """Whether a page holds too little text to have been rendered on the server."""
+    # Patterns, lengths and the ratio are the published ones.
     body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)</body>", 1)
     bare = body
     for tag in ("script", "style", "svg"):
@@ -113,7 +115,7 @@ def one_of(value: Column, allowed: list[str], fallback: str) -> Column:
 
 
 def cross_links(html: Column) -> Column:
-    """Links to numbered decision files as routes."""
+    """Links to numbered decision files as routes (the pattern and the route are fixed values)."""
     return F.regexp_replace(html, r'href="\./(\d{4})-[^"]*\.md"', 'href="/adr/$1"')
 
 

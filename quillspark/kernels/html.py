@@ -15,10 +15,13 @@ from dataclasses import dataclass, field
 from quillspark.kernels import jsstr
 
 # Fixed values.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset(
-    "script style nav footer aside header form iframe noscript svg button select textarea".split()
-)
+VOID = {
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+}
+DROPPED = {
+    "script", "style", "nav", "footer", "aside", "header", "form", "iframe", "noscript", "svg", "button", "select",
+    "textarea",
+}
 NAMED = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
     "mdash": "—", "ndash": "–", "hellip": "…", "copy": "©", "reg": "®", "trade": "™",
@@ -36,6 +39,7 @@ _PIECE = re.compile(
     re.DOTALL,
 )
 _ENTITY = re.compile(r"&(#[xX]?[0-9a-fA-F]+|[a-zA-Z]+);")
+# Fixed value: what an attribute looks like.
 _ATTR = re.compile(
     rf"""([a-zA-Z_:][A-Za-z0-9_:.\-]*){jsstr.WS}*={jsstr.WS}*(?:"([^"]*)"|'([^']*)'|([^{re.escape(jsstr.WS_CHARS)}>]+))"""
 )

@@ -24,6 +24,7 @@ _PIECE = re.compile(
     r"|<(?P<open>[^ \t\r\n/>]*)(?P<attrs>(?:[^>/]|/(?!>))*)(?P<alone>/?)>",
     re.DOTALL,
 )
+# Fixed value: what an attribute looks like.
 _ATTR = re.compile(r"""([a-zA-Z_:][A-Za-z0-9_:.\-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _STEP = re.compile(r"([A-Za-z0-9_:*\-]+)(?:\[(\d+)\])?\Z")
 

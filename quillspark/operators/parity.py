@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values.
+# The statuses, and the published format of tracker tables and spec files.
 STATUSES = ["ported", "tbd", "divergent"]
+HEADING = r"^### ([\w-]+) → ([\w-]+)"
+ROW = r"^\|\s*`([\w-]+)`\s*\|.*?\|\s*\*\*(\w+)\*\*\s*\|"
+SECTION = r"(?is)Deviations from upstream:?\s*\n(.*?)(?:\n##|\n---|\n\*\*|\z)"
+NOTHING_SAID = ["", "None.", "(none)"]
 
 
 def tracker_rows(trackers: DataFrame) -> DataFrame:
@@ -18,16 +22,14 @@ def tracker_rows(trackers: DataFrame) -> DataFrame:
     are skipped, and of several rows for one skill the last counts.
     """
     lines = trackers.select("tracker_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    heading = r"^### ([\w-]+) → ([\w-]+)"
     w = Window.partitionBy("tracker_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    named = F.when(F.col("line").rlike(heading), F.regexp_extract("line", heading, 1))
-    row = r"^\|\s*`([\w-]+)`\s*\|.*?\|\s*\*\*(\w+)\*\*\s*\|"
+    named = F.when(F.col("line").rlike(HEADING), F.regexp_extract("line", HEADING, 1))
     rows = (
         lines.withColumn("plugin", F.last(named, ignorenulls=True).over(w))
-        .where(F.col("line").rlike(row) & F.col("plugin").isNotNull())
+        .where(F.col("line").rlike(ROW) & F.col("plugin").isNotNull())
         .select(
-            "tracker_id", "plugin", F.regexp_extract("line", row, 1).alias("skill"),
-            F.lower(F.regexp_extract("line", row, 2)).alias("declared"), "pos",
+            "tracker_id", "plugin", F.regexp_extract("line", ROW, 1).alias("skill"),
+            F.lower(F.regexp_extract("line", ROW, 2)).alias("declared"), "pos",
         )
         .where(F.col("declared").isin(STATUSES))
     )
@@ -38,16 +40,17 @@ def derived_status(tracked: DataFrame, specs: DataFrame) -> DataFrame:
     """``plugin, skill, derived``: ``tbd`` without a spec file, ``divergent`` if its
     section of deviations says anything but none, else ``ported``.
 
-    ``specs`` has ``plugin, skill, text``; of several for one skill the greatest
-    text counts.
+    ``specs`` has ``plugin, skill, text``; of several for one skill the one with the
+    greatest hash of its text counts.
     """
-    section = r"(?is)Deviations from upstream:?\s*\n(.*?)(?:\n##|\n---|\n\*\*|\z)"
-    said = F.trim(F.regexp_replace(F.regexp_extract("text", section, 1), r"\A\s+|\s+\z", ""))
-    texts = specs.groupBy("plugin", "skill").agg(F.max("text").alias("text"))
-    return tracked.select("plugin", "skill").distinct().join(texts, ["plugin", "skill"], "left").select(
-        "plugin", "skill",
-        F.when(F.col("text").isNull(), "tbd").when(said.isin("", "None.", "(none)"), "ported")
-        .otherwise("divergent").alias("derived"),
+    said = F.trim(F.regexp_replace(F.regexp_extract("text", SECTION, 1), r"\A\s+|\s+\z", ""))
+    status = F.when(said.isin(NOTHING_SAID), "ported").otherwise("divergent")
+    # Read first, so that a hash and a status move, never a text.
+    read = specs.where("text is not null").groupBy("plugin", "skill").agg(
+        F.max(F.struct(F.xxhash64("text"), status.alias("status"))).alias("s")
+    )
+    return tracked.select("plugin", "skill").distinct().join(read, ["plugin", "skill"], "left").select(
+        "plugin", "skill", F.coalesce("s.status", F.lit("tbd")).alias("derived")
     )
 
 

@@ -1123,6 +1123,30 @@ def events_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+@query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events group by all")
+def events_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream: events land as files, state is kept per window, and what
+    the query has written when nothing more is there is read."""
+    schema = "event_id bigint, ts timestamp, event_type string"
+    landing, out = new_path(spark, "landing"), new_path(spark, "windows")
+    events = load(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    # In order of time, so that no file is later than the delay allows.
+    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(landing)
+    counts = ingest.counts_by_window(ingest.landed(spark, landing, schema))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    started = (
+        counts.writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+    # Of a window's updates the last holds its count.
+    seen = spark.read.parquet(out).groupBy("window", "event_type").agg(F.max("n").alias("n"))
+    return seen.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 # --- Snapshots ----------------------------------------------------------------------
 
 
