@@ -43,10 +43,10 @@ from quillspark import session
 TESTED = 252
 #: Rows of the two sides of an exact block: vectors with a short list, and all vectors.
 SHORT_BLOCK = 16_384
-ALL_BLOCK = 32_768
+ALL_BLOCK = 131_072
 #: Rows that are multiplied at a time, and columns that a first threshold is taken from.
-AT_ONCE = 512
-FIRST = 4096
+AT_ONCE = 256
+FIRST = 8192
 
 
 def rows_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -293,8 +293,9 @@ def nearest_of(
         dots[same, itself[same]] = -2
         few = max(min(FIRST, len(there)), keep)
         least = np.partition(dots[:, :few], few - keep, axis=1)[:, few - keep] - margin
-        r, c = np.nonzero(dots >= np.maximum(least, np.float32(max(floor, -1.5)) - margin)[:, None])
-        value = dots[r, c]
+        beats = np.flatnonzero(dots >= np.maximum(least, np.float32(max(floor, -1.5)) - margin)[:, None])
+        r, c = np.divmod(beats, len(there))
+        value = dots.ravel()[beats]
         by = np.lexsort((-value, r))
         r, c, value = r[by], c[by], value[by]
         first = np.searchsorted(r, np.arange(len(ids)))

@@ -275,7 +275,7 @@ from budgets
 """,
     "p1_neighbours": f"""
 with {_CURRENT.format(floor="true")}
-select k as chunk_id, n as neighbour, round(c, 5) as cosine, r as rank from ranked where r <= 5
+select k as chunk_id, n as neighbour, round(round(c, 9), 5) as cosine, r as rank from ranked where r <= 5
 """,
     "p1_recall": f"""
 with {_CURRENT.format(floor="true")}
