@@ -109,23 +109,26 @@ def search(index: DataFrame, queries: DataFrame, n: int = TOP, digits: int | Non
                 if not len(batch):
                     continue
                 ids, vectors = batch["chunk_id"].to_numpy(), batch["embedding"].tolist()
-                found = []
-                for width, rows in widths.items():
-                    q = _matrix([carried.value[i][1] for i in rows], width)
+                names, places, values = [], [], []
+                for width, asked in widths.items():
+                    q = _matrix([carried.value[i][1] for i in asked], width)
                     s = q @ _matrix(vectors, width).T
                     if digits is not None:
                         s = np.round(s, digits) + 0.0
                     keep = min(n, s.shape[1])
-                    for r, i in enumerate(rows):
+                    for r, i in enumerate(asked):
                         # All that reach the n-th score stay, so that ties are settled by id.
                         floor = np.partition(s[r], -keep)[-keep]
                         at = np.flatnonzero(s[r] >= floor)
                         if len(at) > keep:
                             at = at[np.lexsort((ids[at], -s[r][at]))[:keep]]
-                        found.append(
-                            pd.DataFrame({"query_id": carried.value[i][0], "chunk_id": ids[at], "score": s[r][at]})
-                        )
-                both = pd.concat(found if held is None else [held, *found])
+                        names += [carried.value[i][0]] * len(at)
+                        places.append(at)
+                        values.append(s[r][at])
+                fresh = pd.DataFrame(
+                    {"query_id": names, "chunk_id": ids[np.concatenate(places)], "score": np.concatenate(values)}
+                )
+                both = fresh if held is None else pd.concat([held, fresh])
                 both = both.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
                 held = both.groupby("query_id", sort=False).head(n)
             if held is not None:
