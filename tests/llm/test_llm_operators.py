@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -325,6 +326,20 @@ def test_simple_tree_matching_is_the_largest():
         assert len({x for x, _ in found}) == len({y for _, y in found}) == len(found)
 
 
+def test_long_pages_of_like_lines():
+    """Thousands of equal and alternating lines are read and aligned in no time."""
+    began = time.time()
+    reader = boilerplate.Reader("docs.acme.example")
+    pages = [boilerplate.read_tree("\n".join(f"{i} of these and {i % k} of those are here." + " x" * (i % k) for i in range(20_000)), reader) for k in (1, 3)]
+    for a in pages:
+        for b in pages:
+            pairs = boilerplate.simple_tree_matching(a, b)
+            assert len({x for x, _ in pairs}) == len(pairs) and sorted(pairs) == sorted(pairs, key=lambda p: p[1])
+    assert len(boilerplate.simple_tree_matching(pages[1], pages[1])) == 20_000
+    assert boilerplate.template_lines(boilerplate.read_tree("y" * 1_000_000, reader), {1}) == set()
+    assert time.time() - began < 20
+
+
 def test_a_recurring_sentence_among_varying_ones_is_content(spark):
     """The same line is template beside constant lines, content among varying ones."""
     said = "A copyright line in the source file is kept; the year is never changed."
