@@ -246,7 +246,7 @@ def _matcher(carried, width: int, least: float):
 
 def leaks_by_shingles(documents: DataFrame, items: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
     """``doc_id, item_id`` by another road, to hold ``leaks`` against: every run of
-    ``min_match`` words of every document, joined with those of the passages."""
+    ``min_match`` words of every document, by its hash, joined with those of the passages."""
 
     def runs(rows: DataFrame, key: str, text: str) -> DataFrame:
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,7 +258,7 @@ def leaks_by_shingles(documents: DataFrame, items: DataFrame, min_match: int = M
         parts = rows.select(key, text).mapInPandas(cut, f"{key} {kind}, w string").select(key, F.split("w", " ").alias("w"))
         starts = F.sequence(F.lit(1), F.size("w") - (min_match - 1))
         return parts.where(F.size("w") >= min_match).select(
-            key, F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, min_match), " "))).alias("run")
+            key, F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, min_match)))).alias("run")
         )
 
     asked = session.scratch(runs(items.where("item_id is not null"), "item_id", "passage").distinct(), "passage-runs")
