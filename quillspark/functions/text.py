@@ -124,11 +124,6 @@ def base64_text(content: Column, charset: str = "UTF-8") -> Column:
     return F.decode(F.unbase64(F.regexp_replace(content, r"\s", "")), charset)
 
 
-def contains_any(text: Column, parts: Column) -> Column:
-    """Whether any of the parts occurs in the text, by case."""
-    return F.coalesce(F.exists(parts, lambda p: text.contains(p)), F.lit(False))
-
-
 def injection_score(payload: Column) -> Column:
     """The first score labelled injection or malicious of ``array<struct<label,score>>``."""
     hits = F.filter(payload, lambda p: F.upper(p["label"]).isin("INJECTION", "MALICIOUS"))

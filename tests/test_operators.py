@@ -3,6 +3,8 @@
 import datetime
 import json
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,6 +205,33 @@ def test_recall_and_breakdown(spark):
     assert dict(rows(evaluation.breakdown(evaluation.caught_at(found, found))))["missed"] == 3
 
 
+FIRST_PLAN = """
+import sys
+from pyspark.sql import functions as F
+from quillspark import session
+from quillspark.operators import evaluation
+
+spark = session.build("local[1]", "first-plan", **{"spark.sql.shuffle.partitions": "1"})
+chunks, asked, hits = (spark.read.parquet(f"{sys.argv[1]}/{name}") for name in ("chunks", "asked", "hits"))
+asked = asked.select(F.col("item_id").alias("question_id"), F.col("passages").alias("expected"))
+found = evaluation.matched(hits, chunks.withColumnRenamed("doc_id", "chunk_id"), asked)
+print(sorted(r["question_id"] for r in found.collect() if r["matched"]), found.count())
+"""
+
+
+def test_matched_in_the_first_plan_of_a_session(spark, tmp_path):
+    """Texts whose column has one of a session's first ids, in a process of its own."""
+    for name, schema, data in (
+        ("chunks", "doc_id string, text string", [("a", "the answer"), ("b", None)]),
+        ("asked", "item_id int, passages array<string>",
+         [(1, ["answer"]), (2, ["Answer"]), (3, []), (4, None), (5, [None, "the", "the"]), (6, [None]), (8, ["answer"])]),
+        ("hits", HITS, [(q, c, 1.0, 1) for q in range(7) for c in ("a", "b")]),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}")
+    done = subprocess.run([sys.executable, "-c", FIRST_PLAN, str(tmp_path)], capture_output=True, text=True, timeout=300)
+    assert done.stdout.split("\n")[-2:-1] == ["[1, 5] 7"], done.stderr[-2000:]
+
+
 # --- Readers
 
 
