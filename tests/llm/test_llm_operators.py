@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quillspark import session
 from quillspark.llm import boilerplate, leakage, mixing, neighbours, seen, splitter, subjects
 
 
@@ -362,6 +363,42 @@ def test_a_recurring_sentence_among_varying_ones_is_content(spark):
     assert all(n > 2 for _, n in found) and {p for p, _ in found} == set(lines)
 
 
+def brute_wrapper(pages):
+    """Labels of the wrapper of one host's trees by hash, each label's pages aligned one after the other."""
+    held = {label: [p for p in sorted(pages) if label in pages[p].labels] for label in {x for t in pages.values() for x in t.labels}}
+    held = {label: on for label, on in held.items() if len(on) >= max(boilerplate.LEAST_PAGES, boilerplate.LEAST_SHARE * len(pages))}
+    sums = {}
+    for a, b in {pair for on in held.values() for pair in zip(on, on[1:])}:
+        for label, found in boilerplate.evidence(pages[a], pages[b]).items():
+            sums[label] = [x + y for x, y in zip(sums.get(label, [0] * 4), found)]
+    return {
+        label for label, (tries, hits, beside, formed) in sums.items() if label in held and hits and (
+            len(held[label]) >= max(boilerplate.CONSTANT_PAGES, boilerplate.CONSTANT_SHARE * len(pages))
+            or beside >= boilerplate.SETTLED * tries or formed and hits >= boilerplate.MATCHED * tries)
+    }
+
+
+def test_every_page_that_holds_a_label_is_aligned(spark, monkeypatch):
+    """Sentences that stand beside constant lines about as often as it takes: each page counts."""
+    rng, pages = random.Random(5), []
+    for i in range(400):
+        word = "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+        lines = [f"The report {word} was written by hand, in ink, at night.", f"It ends with remark {word} and says no more than that."]
+        tail = ["Thanks for your visit to these pages, and come again.", "All the rest is kept in the archive of the town."]
+        for k in rng.sample(range(24), 3):
+            (tail if rng.random() < 0.5 else lines).insert(1, f"Notice {'abcdefghijklmnopqrstuvwxyz'[k]} is given to all that read this.")
+        pages.append((i, f"https://one.example/{i}", "\n".join(lines + tail), "", 0))
+    df = spark.createDataFrame(pages, PAGE).selectExpr("'one.example' as host", "markdown")
+    nodes = session.scratch(boilerplate.trees(df), "test-trees")
+    expected = brute_wrapper({r["page"]: boilerplate.Tree.unpacked(bytes(r["tree"])) for r in nodes.collect()})
+    assert 2 < len(expected) < 26
+    assert {r["label"] for r in boilerplate.template_nodes(nodes).collect()} == expected
+    # The same if the host's pages are aligned in several tasks.
+    for size in (150, 7):
+        monkeypatch.setattr(boilerplate, "PAGES_A_CHAIN", size)
+        assert {r["label"] for r in boilerplate.template_nodes(nodes).collect()} == expected
+
+
 def test_wrappers_joined_or_carried_give_the_same(spark, monkeypatch):
     bodies = [[f"Sentence number {i} speaks of {'abcdefghijklmnopqrstuvwxyz'[i]} and of nothing else."] for i in range(20)]
     df = spark.createDataFrame([page(i, b) for i, b in enumerate(bodies)], PAGE)
